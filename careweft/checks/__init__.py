@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries():
-    from careweft.checks import claims
+    from careweft.checks import claims, discovery, files, provider, scalars
 
-    return [claims.REGISTRY]
+    return [r.REGISTRY for r in (provider, claims, discovery, files, scalars)]

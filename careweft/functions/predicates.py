@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -24,22 +25,38 @@ def date_range(column: Column | str, start, end_exclusive) -> Column:
     return (c >= F.lit(start)) & (c < F.lit(end_exclusive))
 
 
+def like_regex(pattern: str) -> str:
+    """A LIKE pattern with `%`, `_`, `[set]` and `[^set]` as a regular expression."""
+    out, i = [], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        close = pattern.find("]", i + 2) if ch == "[" else -1
+        if close > 0:
+            body = pattern[i + 1 : close]
+            negated, body = body.startswith("^"), body.removeprefix("^")
+            body = re.sub(r"([\\\[\]^&])", r"\\\1", body)
+            out.append(f"[{'^' if negated else ''}{body}]")
+            i = close
+        else:
+            out.append({"%": ".*", "_": "."}.get(ch) or re.escape(ch))
+        i += 1
+    return "".join(out)
+
+
 def contains_text(column: Column | str, text: str) -> Column:
-    """Case-insensitive `%text%`; `%` and `_` in `text` stay wildcards."""
-    c = F.lower(as_column(column))
-    if "%" in text or "_" in text or "\\" in text:
-        return c.like(f"%{text.lower()}%")
-    return c.contains(text.lower())
+    """Case-insensitive `%text%`, where `text` may hold LIKE wildcards."""
+    c, text = F.lower(as_column(column)), text.lower()
+    if "[" in text:
+        return c.rlike(f"(?s)^.*{like_regex(text)}.*$")
+    if "%" in text or "_" in text:
+        escaped = text.replace("\\", "\\\\")
+        return c.like(f"%{escaped}%")
+    return c.contains(text)
 
 
 def name_like(name: str, pattern: str) -> bool:
-    """SQL LIKE for a table or column name known on the driver."""
-    import re
-
-    regex = "".join(
-        ".*" if ch == "%" else "." if ch == "_" else re.escape(ch) for ch in pattern.lower()
-    )
-    return re.fullmatch(regex, name.lower(), flags=re.DOTALL) is not None
+    """LIKE, ignoring case, for a table or column name known on the driver."""
+    return re.fullmatch(like_regex(pattern.lower()), name.lower(), flags=re.DOTALL) is not None
 
 
 def starts_with_any(column: Column | str, prefixes: Iterable[str]) -> Column:
