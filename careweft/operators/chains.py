@@ -60,7 +60,10 @@ def assign_episode_chain(
 
 
 def _length(count: Column) -> Column:
-    return F.coalesce(F.greatest(count.cast("long"), F.lit(1)), F.lit(UNLIMITED).cast("long"))
+    # `greatest` passes over nulls, so these are taken out first.
+    return F.when(count.isNull(), F.lit(UNLIMITED).cast("long")).otherwise(
+        F.greatest(count.cast("long"), F.lit(1).cast("long"))
+    )
 
 
 def _fold(
@@ -75,12 +78,9 @@ def _fold(
     def step(acc: Column, row: Column) -> Column:
         here = acc["at"] + 1
         starts = here >= acc["next"]
-        length = F.when(row[count].isNull(), F.lit(UNLIMITED)).otherwise(
-            F.greatest(row[count].cast("long"), F.lit(1).cast("long"))
-        )
         return F.struct(
             here.alias("at"),
-            F.when(starts, here + length).otherwise(acc["next"]).alias("next"),
+            F.when(starts, here + _length(row[count])).otherwise(acc["next"]).alias("next"),
             F.when(starts, F.concat(acc["starts"], F.array(here)))
             .otherwise(acc["starts"])
             .alias("starts"),

@@ -161,13 +161,15 @@ class OrderedKeys:
                 **{f"_t_{n}": F.max(f"_t_{n}").over(before) for n in latest},
             }
         )
-        out = self._with(self._df.withColumns(inside))._attach(carry, names)
+        within = self._df.withColumns(inside)
+        out = self._with(within)._attach(carry, names)
         merged = {}
         for n in sums:
             here, base = F.col(n), F.col(f"_t_{n}")
-            merged[n] = F.when(here.isNull(), base).when(base.isNull(), here).otherwise(here + base)
+            both = F.when(here.isNull(), base).when(base.isNull(), here).otherwise(here + base)
+            merged[n] = both.cast(within.schema[n].dataType)
         for n in latest:
-            merged[n] = F.coalesce(F.col(n), F.col(f"_t_{n}"))
+            merged[n] = F.greatest(F.col(n), F.col(f"_t_{n}"))
         return self._with(out.withColumns(merged).drop(*names))
 
 

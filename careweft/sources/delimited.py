@@ -36,6 +36,11 @@ def retype(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(f"`{c}`").try_cast(t) for c, t in types.items()})
 
 
+# Code page 1252 is Latin-1 but for these bytes; five of them have no character.
+_LATIN1 = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+_CP1252 = _LATIN1.encode("latin-1").decode("cp1252")
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -45,15 +50,28 @@ def read_delimited(
     renames: Mapping[str, str] | None = None,
     types: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Delimited text in a code page, by default without any quoting."""
+    """Delimited text in a code page, by default without any quoting.
+
+    Spark reads only a few charsets; code page 1252 is read as Latin-1 and its
+    27 other characters are put in place column by column.
+    """
+    cp1252 = encoding.lower() in ("windows-1252", "cp1252", "1252")
     df = (
         spark.read.option("header", True)
         .option("sep", delimiter)
-        .option("encoding", encoding)
+        .option("encoding", "iso-8859-1" if cp1252 else encoding)
         .option("quote", quote or "")
         .option("inferSchema", False)
         .csv(path)
     )
+    if cp1252:
+        to_1252 = str.maketrans(_LATIN1, _CP1252)
+        df = df.select(
+            *[
+                F.translate(F.col(f"`{c}`"), _LATIN1, _CP1252).alias(c.translate(to_1252))
+                for c in df.columns
+            ]
+        )
     return retype(df.withColumnsRenamed(dict(renames or {})), types or {})
 
 
