@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from careweft.functions.predicates import as_column
+from careweft.functions.times import stamp_text
 
 
 def last_position(text: Column, part: str) -> Column:
@@ -66,11 +67,10 @@ def chunk_text(
 
 def module_banner(name: str, created: str, modified: str) -> Column:
     """Header lines printed before a definition: name and 24-hour times."""
-    stamp = "yyyy-MM-dd HH:mm:ss"
     return F.concat(
         F.lit("--\tModule:\t"), F.col(name),
-        F.lit("\n--\tCreated:\t"), F.coalesce(F.date_format(created, stamp), F.lit("")),
-        F.lit("\n--\tModified:\t"), F.coalesce(F.date_format(modified, stamp), F.lit("")),
+        F.lit("\n--\tCreated:\t"), F.coalesce(stamp_text(created), F.lit("")),
+        F.lit("\n--\tModified:\t"), F.coalesce(stamp_text(modified), F.lit("")),
         F.lit("\n"),
     )
 
@@ -123,7 +123,7 @@ def sql_literal(column: Column | str, kind: T.DataType) -> Column:
     elif isinstance(kind, T.StringType):
         text = wrapped(F.replace(c, F.lit("'"), F.lit("''")))
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        text = wrapped(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
+        text = wrapped(stamp_text(c))
     elif isinstance(kind, T.DateType):
         text = wrapped(F.date_format(c, "yyyy-MM-dd"))
     elif type(kind).__name__ == "TimeType":

@@ -22,7 +22,12 @@ REGIONS = {
     "America/Denver": ("MST", "MDT"),
     "America/Los_Angeles": ("PST", "PDT"),
 }
-PATTERN = "yyyy-MM-dd HH:mm:ss"
+
+
+def stamp_text(column: Column | str) -> Column:
+    """`yyyy-MM-dd HH:mm:ss`. Formatting functions would read a time without
+    zone in the session's zone and move hours its clock skips."""
+    return F.substring(as_column(column).cast("string"), 1, 19)
 
 
 def eastern_label(now: datetime | None = None) -> str:
@@ -37,7 +42,7 @@ def _wall_clock(ms: Column, hours: Column | int) -> Column:
     origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     seconds = F.floor(ms / 1000) - F.lit(3600) * hours
     moved = origin + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
-    return F.date_format(moved, PATTERN)
+    return stamp_text(moved)
 
 
 def format_epoch_ms(column: Column | str, zone: str | None = None) -> Column:
