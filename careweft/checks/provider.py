@@ -35,12 +35,17 @@ def wide_orders(spark, sf_dir):
         "flag": F.when(shown, F.col("l_returnflag")),
         "status": F.when(shown, F.col("l_linestatus")),
     }
-    return lines.groupBy(F.col("l_orderkey").cast("string").alias("NPI")).agg(
+    row = F.struct("slot", *[v.alias(n) for n, v in fields.items()])
+    packed = lines.groupBy(F.col("l_orderkey").cast("string").alias("NPI")).agg(
+        F.array_sort(F.collect_list(row)).alias("s")
+    )
+    return packed.select(
+        "NPI",
         *[
-            F.max(F.when(F.col("slot") == i, value)).alias(f"{name}_{i}")
+            F.get("s", F.lit(i - 1))[name].alias(f"{name}_{i}")
             for i in range(1, SLOTS + 1)
-            for name, value in fields.items()
-        ]
+            for name in fields
+        ],
     )
 
 

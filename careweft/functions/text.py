@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,32 +23,14 @@ def text_pieces(text: Column | str, size: int = 4000, line_break: str = "\n") ->
 
     While more than `size` characters remain, a piece ends with the last line
     break inside the first `size` characters, or after `size + 1` characters
-    where there is none. Two neighbouring pieces are always longer than `size`
-    together, which bounds the number of steps of the fold.
+    where there is none. Written as one pattern with these three cases in
+    order, the text is walked once.
     """
-    text = as_column(text)
-    steps = F.sequence(F.lit(1), (F.length(text) * 2 / F.lit(size)).cast("int") + 2)
-    empty = F.array().cast("array<string>")
-
-    def step(acc: Column, _: Column) -> Column:
-        rest = acc["rest"]
-        at = last_position(F.substring(rest, 1, size), line_break)
-        cut = F.when(at > 0, at + (len(line_break) - 1)).otherwise(F.lit(size + 1))
-        return F.when(
-            F.length(rest) > size,
-            F.struct(
-                F.substring(rest, cut + 1, F.length(rest)).alias("rest"),
-                F.concat(acc["pieces"], F.array(F.substring(rest, F.lit(1), cut))).alias("pieces"),
-            ),
-        ).otherwise(acc)
-
-    def finish(acc: Column) -> Column:
-        return F.when(
-            F.length(acc["rest"]) > 0, F.concat(acc["pieces"], F.array(acc["rest"]))
-        ).otherwise(acc["pieces"])
-
-    start = F.struct(text.alias("rest"), empty.alias("pieces"))
-    return F.aggregate(steps, start, step, finish)
+    rest = rf".{{1,{size}}}\z"
+    to_break = rf".{{0,{size - len(line_break)}}}{re.escape(line_break)}"
+    hard = rf".{{{size + 1}}}"
+    pattern = f"(?s){rest}|{to_break}|{hard}"
+    return F.regexp_extract_all(as_column(text), F.lit(pattern), F.lit(0))
 
 
 def chunk_text(
@@ -93,6 +77,9 @@ def expand_tabs(
         text = F.replace(text, F.lit("\r\n"), F.lit("\n"))
 
     def expand(line: Column) -> Column:
+        return F.when(F.contains(line, F.lit("\t")), padded_line(line)).otherwise(line)
+
+    def padded_line(line: Column) -> Column:
         parts = F.split(line, "\t", -1)
         padded = F.transform(
             parts,

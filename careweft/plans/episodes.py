@@ -161,7 +161,9 @@ def episode_claim_counts(
         ),
     ).withColumns({"_at": F.col("_mark.at"), "_kind": F.col("_mark.kind")})
     is_end = 1 - F.col("_kind")
-    axis = OrderedKeys(marks, keys, ["_at", "_kind", "_row"], floor, chunk_rows, hot).running(
+    axis = OrderedKeys(
+        marks, keys, ["_at", "_kind", "_row"], floor, chunk_rows, rows.hot
+    ).running(
         sums={"_ends": is_end, "_ends_missing": is_end * missing}
     )
     taken = F.greatest(F.col("_ends") - F.col("_row") + 1, F.lit(1))

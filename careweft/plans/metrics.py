@@ -7,7 +7,14 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careweft.operators.intervals import events_in_window
+from careweft.operators.intervals import (
+    DayWindow,
+    EventStream,
+    attach_totals,
+    events_in_window,
+    windows_totals,
+)
+from careweft.session import cut_lineage
 
 
 def stay_rollup(
@@ -18,9 +25,11 @@ def stay_rollup(
 
 
 def stays_with_event_before(
-    stays: DataFrame, events: DataFrame, key: str, stay: str, begin: str, thru: str, days: int = 30
+    stays: DataFrame, events: DataFrame, key: str, stay: str, begin: str, thru: str, days: int = 30,
+    stage: bool = True,
 ) -> DataFrame:
     """Stays with an event that ended on or up to `days` days before the begin."""
+    stays = cut_lineage(stays) if stage else stays
     return (
         events_in_window(stays, events, key, begin, thru, -days, 0, how="left_semi")
         .select(key, stay)
@@ -39,8 +48,10 @@ def stay_window_sum(
     lo: int,
     hi: int,
     out: str = "stay_sum",
+    stage: bool = True,
 ) -> DataFrame:
     """Amount of the events on [anchor+lo, anchor+hi], for stays that have any."""
+    stays = cut_lineage(stays) if stage else stays
     found = events_in_window(
         stays, events, key, anchor, event_date, lo, hi, {out: amount}, "_n", how="inner"
     )
@@ -62,6 +73,7 @@ def episode_metrics(
     amount: str = "pmt",
     fill: int | None = None,
     labels: Mapping[str, str] | None = None,
+    stage: bool = True,
 ) -> DataFrame:
     """Episode columns, the episode year and seven stay measures.
 
@@ -69,30 +81,40 @@ def episode_metrics(
     A cost without a matching event is null there, or `fill`. The readmission
     cost asks for an inpatient event before the stay, the readmission flag for
     one after it; both ask for a discharge to home. `labels` renames columns.
+    Episodes are read twice, for the windows and for the result; unless they
+    are a stored table (`stage=False`) they are written once first.
     """
-    rows = episodes
-    windows = [
-        ("before", inpatient, stay_begin_dt, thru_dt, -30, 0),
-        ("after", inpatient, stay_begin_dt, from_dt, 0, 60),
-        ("again", inpatient, stay_end_dt, from_dt, 2, 32),
-        ("emergency", emergency, stay_begin_dt, from_dt, 0, 60),
-    ]
-    for name, events, anchor, date, lo, hi in windows:
-        rows = events_in_window(
-            rows, events, key, anchor, date, lo, hi, {f"_{name}_sum": amount}, f"_{name}_n"
-        )
+    if stage:
+        episodes = cut_lineage(episodes)
+    cost = {"sum": amount}
+    totals = windows_totals(
+        episodes,
+        key,
+        {
+            "inpatient_from": EventStream(inpatient, from_dt, cost),
+            "inpatient_thru": EventStream(inpatient, thru_dt),
+            "emergency_from": EventStream(emergency, from_dt, cost),
+        },
+        [
+            DayWindow("_before", "inpatient_thru", stay_begin_dt, -30, 0),
+            DayWindow("_after", "inpatient_from", stay_begin_dt, 0, 60),
+            DayWindow("_again", "inpatient_from", stay_end_dt, 2, 32),
+            DayWindow("_emergency", "emergency_from", stay_begin_dt, 0, 60),
+        ],
+    )
+    rows = attach_totals(episodes, totals, [key, stay_begin_dt, stay_end_dt])
     last = F.col(stay_end) == 1
     at_home = last & (F.col(home) == 1)
 
     def has(name: str):
-        return F.col(f"_{name}_n").isNotNull()
+        return F.col(f"_{name}_count").isNotNull()
 
-    def cost(name: str):
+    def value(name: str):
         found = F.col(f"_{name}_sum")
         return found if fill is None else F.coalesce(found, F.lit(fill))
 
     def money(test, name: str):
-        return F.when(test, cost(name)).otherwise(F.lit(0))
+        return F.when(test, value(name)).otherwise(F.lit(0))
 
     def flag(test):
         return F.when(test, F.lit(1)).otherwise(F.lit(0))
