@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from careweft.checks.common import Registry, table
 from careweft.functions.names import clean_columns
 from careweft.functions.text import chunk_text, expand_tabs, text_pieces
+from careweft.functions.times import stamp_text
 from careweft.session import staging_path
 from careweft.sources import listing
 from careweft.sources.archives import entry_lines, zip_entries
@@ -24,7 +25,6 @@ REGISTRY = Registry()
 # Fixed values of the file fixture.
 EXTENSIONS = [".csv", ".TXT", ".D01", ".T9x", ".7z", ".xlsx", ".r", "._x", None]
 SITE = "https://files.example.com/"
-STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
 def files(spark, sf_dir):
@@ -126,7 +126,7 @@ def library(spark, sf_dir):
     FROM files""",
 )
 def file_inventory(spark, sf_dir):
-    return library(spark, sf_dir).withColumn("modified", F.date_format("modified", STAMP))
+    return library(spark, sf_dir).withColumn("modified", stamp_text("modified"))
 
 
 def all_files(spark, sf_dir):
@@ -156,7 +156,7 @@ all_files AS (
     FROM all_files""",
 )
 def files_union(spark, sf_dir):
-    stamps = {c: F.date_format(c, STAMP) for c in ("modified", "created")}
+    stamps = {c: stamp_text(c) for c in ("modified", "created")}
     return all_files(spark, sf_dir).withColumns(stamps)
 
 
@@ -259,7 +259,7 @@ def cleaned_columns(spark, sf_dir):
 def csv_latin1_noquote(spark, sf_dir):
     prefix = "Microsoft.PowerShell.Core\\FileSystem::"
     raw = files(spark, sf_dir).filter(F.col("name").isNotNull())
-    time = F.date_format("modified", STAMP)
+    time = stamp_text("modified")
     raw = raw.select(
         F.concat(F.lit('"é'), "name").alias("PSChildName"),
         F.col("extension").alias("Extension"),
@@ -282,7 +282,7 @@ def csv_latin1_noquote(spark, sf_dir):
         types={"size": "bigint", "modified": "timestamp_ntz", "created": "timestamp_ntz"},
     )
     found = listing.tidy_inventory(found, strip={"folder": prefix})
-    return found.withColumns({c: F.date_format(c, STAMP) for c in ("modified", "created")})
+    return found.withColumns({c: stamp_text(c) for c in ("modified", "created")})
 
 
 @REGISTRY.add(

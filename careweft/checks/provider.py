@@ -39,10 +39,10 @@ def wide_orders(spark, sf_dir):
     packed = lines.groupBy(F.col("l_orderkey").cast("string").alias("NPI")).agg(
         F.array_sort(F.collect_list(row)).alias("s")
     )
-    return packed.select(
+    return packed.selectExpr(
         "NPI",
         *[
-            F.get("s", F.lit(i - 1))[name].alias(f"{name}_{i}")
+            f"get(s, {i - 1}).{name} AS {name}_{i}"
             for i in range(1, SLOTS + 1)
             for name in fields
         ],
@@ -78,9 +78,9 @@ def _renamed(wide, fields: dict[str, str], n: int):
     columns = []
     for i in range(1, n + 1):
         for target, source in fields.items():
-            value = F.col(f"{source}_{i}") if i <= SLOTS and source else F.lit(None).cast("string")
-            columns.append(value.alias(target.format(i=i)))
-    return wide.select("NPI", *columns)
+            value = f"{source}_{i}" if i <= SLOTS and source else "CAST(NULL AS STRING)"
+            columns.append(f"{value} AS {target.format(i=i)}")
+    return wide.selectExpr("NPI", *columns)
 
 
 @REGISTRY.add(

@@ -92,10 +92,54 @@ def ordered_ranges(
     """Cut rows in contiguous ranges of (keys, order) of about `chunk_rows` rows.
 
     The range number is the partition of a range shuffle. It depends on sampled
-    bounds, so the result is checkpointed: each later use, and each task run
+    bounds, so the result is written out: each later use, and each task run
     again after a lost executor, sees the same ranges. `order` should be total;
     equal rows stay in one range.
     """
     parts = max(1, math.ceil(rows / chunk_rows))
     ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
     return cut_lineage(ranged.withColumn(name, F.spark_partition_id())), parts
+
+
+def lookup_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    right_on: Sequence[str] | None = None,
+    floor: int = HOT_ROWS,
+    salts: int = 256,
+) -> DataFrame:
+    """Join rows to a lookup of about one row per key, for left keys of any size.
+
+    Without large keys this is a plain join. Rows of large keys meet a
+    broadcast of the few lookup rows they need and are not shuffled. If even
+    the list of large keys is long, rows are spread by a salt and the lookup
+    rows of large keys are repeated for each salt. Null keys match each other.
+    The lookup's key columns are dropped. `how`: left, inner, left_semi or
+    left_anti.
+    """
+    right_on = list(right_on or on)
+    named = right.withColumnsRenamed({c: f"_r_{i}" for i, c in enumerate(right_on)})
+    tests = [F.col(c).eqNullSafe(F.col(f"_r_{i}")) for i, c in enumerate(on)]
+    match = reduce(lambda a, b: a & b, tests)
+    extra = [f"_r_{i}" for i in range(len(on))]
+
+    hot = hot_keys(left, on, floor)
+    if hot is None:
+        return left.join(named, match, how).drop(*extra)
+    keys = HotKeys(tuple(extra), hot.table.toDF(*extra, "_n"), hot.rows, hot.small)
+    needed = keys.hot_part(named)
+    cold = hot.cold_part(left).join(keys.cold_part(named), match, how).drop(*extra)
+    if hot.small:
+        many = hot.hot_part(left).join(F.broadcast(needed), match, how)
+    else:
+        salted = hot.hot_part(left).withColumn(
+            "_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))
+        )
+        repeated = needed.withColumn(
+            "_rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        )
+        many = salted.join(repeated, match & (F.col("_salt") == F.col("_rsalt")), how)
+        extra = [*extra, "_salt", "_rsalt"]
+    return cold.unionByName(many.drop(*extra))

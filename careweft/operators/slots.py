@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from careweft.functions.names import quote_name
 from careweft.functions.predicates import any_not_null, as_column
 
 
@@ -30,24 +31,22 @@ def unpivot_slots(
     slots which test that field of slot 1 in place of their own.
     """
     keep_if = keep_if or {}
-
-    def column(pattern: str, i: int) -> Column:
-        return F.col(f"`{pattern.format(i=i)}`")
-
-    def number(i: int) -> Column:
-        return F.lit(str(i)) if text_slot else F.lit(i)
-
+    # One SQL expression: building it from single column objects takes longer
+    # than running it on a small table.
     slots = []
     for i in range(1, n + 1):
-        values = [column(p, i).alias(out) for out, p in fields.items()]
+        number = f"'{i}'" if text_slot else str(i)
+        values = [f"{quote_name(p.format(i=i))} AS {quote_name(f)}" for f, p in fields.items()]
         tested = [
-            column(p, 1 if i in keep_if.get(out, ()) else i) for out, p in fields.items()
+            quote_name(p.format(i=1 if i in keep_if.get(f, ()) else i)) for f, p in fields.items()
         ]
-        filled = F.struct(number(i).alias(slot), *values)
-        slots.append(F.when(any_not_null(tested), filled))
-    return df.select(*id_cols, F.explode(F.array_compact(F.array(*slots))).alias("_s")).select(
-        *id_cols, f"_s.{slot}", *[f"_s.{out}" for out in fields]
+        filled = " OR ".join(f"{c} IS NOT NULL" for c in tested)
+        row = ", ".join([f"{number} AS {quote_name(slot)}", *values])
+        slots.append(f"CASE WHEN {filled} THEN struct({row}) END")
+    rows = df.selectExpr(
+        *[quote_name(c) for c in id_cols], f"inline(array_compact(array({', '.join(slots)})))"
     )
+    return rows.select(*id_cols, slot, *fields)
 
 
 def unpivot_roles(

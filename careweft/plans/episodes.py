@@ -191,9 +191,21 @@ def build_episodes(
     running values of its episode. All steps share one shuffle by key unless a
     key is too large for a task.
     """
-    c = columns
+    large = hot_keys(df, [columns.key], chain_floor)
+    return _episode_rows(df, columns, limit, gap, floor, chain_floor, chunk_rows, large)
+
+
+def _episode_rows(
+    df: DataFrame,
+    c: ClaimColumns,
+    limit: int,
+    gap: int,
+    floor: int,
+    chain_floor: int,
+    chunk_rows: int,
+    large: HotKeys | None,
+) -> DataFrame:
     # A stay belongs to one key, so without large keys there are no large stays.
-    large = hot_keys(df, [c.key], chain_floor)
     very_large = None if large is None else AUTO
     stays = assign_stays(df, c, gap, floor, chunk_rows, very_large)
     if large is not None:
@@ -259,12 +271,13 @@ def episodes_only(
     columns: ClaimColumns = ClaimColumns(),
     floor: int = HOT_ROWS,
     chunk_rows: int = CHUNK_ROWS,
+    hot: HotKeys | None | object = AUTO,
 ) -> DataFrame:
     """One row per episode from the rows of `build_episodes`, with the end of
     the stay and a 1/0 flag on its last episode."""
     last = F.struct(F.col("stay_pos"), F.col(columns.thru_dt).alias("thru_dt"))
     ends = OrderedKeys(
-        rows, [columns.key, "stay_id"], [F.col("stay_pos").desc()], floor, chunk_rows
+        rows, [columns.key, "stay_id"], [F.col("stay_pos").desc()], floor, chunk_rows, hot
     ).running(latest={"_last": last})
     return (
         ends.frame.filter(F.col("epsd_end") == 1)
@@ -274,6 +287,24 @@ def episodes_only(
     )
 
 
+def episode_table(
+    df: DataFrame,
+    columns: ClaimColumns = ClaimColumns(),
+    limit: int = 60,
+    gap: int = 61,
+    floor: int = HOT_ROWS,
+    chain_floor: int = CHAIN_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Claims to one row per episode. Large keys are looked for once, in the
+    claims, and not again in what is computed from them."""
+    large = hot_keys(df, [columns.key], chain_floor)
+    rows = _episode_rows(df, columns, limit, gap, floor, chain_floor, chunk_rows, large)
+    if large is not None:
+        rows = cut_lineage(rows)
+    return episodes_only(rows, columns, floor, chunk_rows, None if large is None else AUTO)
+
+
 def first_row_values(
     df: DataFrame,
     keys: Sequence[str],

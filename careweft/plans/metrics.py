@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from careweft.operators.intervals import (
     DayWindow,
     EventStream,
-    attach_totals,
     events_in_window,
     windows_totals,
 )
+from careweft.operators.skew import lookup_join
 from careweft.session import cut_lineage
 
 
@@ -102,7 +102,7 @@ def episode_metrics(
             DayWindow("_emergency", "emergency_from", stay_begin_dt, 0, 60),
         ],
     )
-    rows = attach_totals(episodes, totals, [key, stay_begin_dt, stay_end_dt])
+    rows = lookup_join(episodes, totals, [key, stay_begin_dt, stay_end_dt])
     last = F.col(stay_end) == 1
     at_home = last & (F.col(home) == 1)
 

@@ -34,24 +34,22 @@ def profile_table(df: DataFrame) -> DataFrame:
     for the distinct count. Minimum, maximum and average are for numbers only.
     """
     fields = df.schema.fields
-    pairs = []
-    for i, f in enumerate(fields, start=1):
-        text = value_text(f.name, f.dataType)
-        pairs.append(
-            F.struct(
-                F.lit(i).alias("ordinal"),
-                F.when(F.length(text) > DIGEST_OVER, F.sha2(text, 256))
-                .otherwise(text)
-                .alias("value"),
-                F.length(text).alias("length"),
-            )
-        )
+    pairs = [
+        F.struct(F.lit(i).alias("ordinal"), value_text(f.name, f.dataType).alias("text"))
+        for i, f in enumerate(fields, start=1)
+    ]
     numeric = [i for i, f in enumerate(fields, 1) if isinstance(f.dataType, T.NumericType)]
     texts = [i for i, f in enumerate(fields, 1) if isinstance(f.dataType, T.StringType)]
 
     values = (
         df.select(F.explode(F.array(*pairs)).alias("p"))
-        .select("p.ordinal", "p.value", "p.length")
+        .select(
+            "p.ordinal",
+            F.when(F.length("p.text") > DIGEST_OVER, F.sha2("p.text", 256))
+            .otherwise(F.col("p.text"))
+            .alias("value"),
+            F.length("p.text").alias("length"),
+        )
         .groupBy("ordinal", "value", "length")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn(

@@ -117,15 +117,10 @@ def search_values(
     keys = ["table_name", "column_name", "column_value", "column_type"]
     parts = [
         _hits(df, pattern, columns, [F.lit(name).alias("table_name")])
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("row_count"))
         for name, df, columns in _matching(tables, pattern, table_like, options)
     ]
-    found = _stack(
-        parts,
-        tables,
-        ", ".join(f"{k} string" for k in keys) + ", row_count bigint",
-    )
+    hits = _stack(parts, tables, ", ".join(f"{k} string" for k in keys))
+    found = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"))
     if order == "count":
         return found.orderBy(F.col("row_count").desc(), *keys[:3])
     return found.orderBy(*keys[:3]) if order == "name" else found

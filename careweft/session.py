@@ -57,6 +57,23 @@ def staging_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and go on from the written copy."""
-    staging_root(df.sparkSession)
-    return df.checkpoint()
+    """Write `df` once below the shared folder and go on from the written table.
+
+    A lost executor then costs a read of the table, not the plan before it, and
+    later steps read only the columns they need. A checkpoint would do as well
+    but computes its last stage twice.
+    """
+    path = staging_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int, per_task: int = 128 << 20) -> int:
+    """Set the number of shuffle partitions for an input of this size.
+
+    Windows and folds sort whole partitions, so these should fit in a task's
+    memory. Too many is harmless: adaptive execution joins small ones.
+    """
+    wanted = max(spark.sparkContext.defaultParallelism, -(-input_bytes // per_task))
+    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted

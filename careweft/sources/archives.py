@@ -6,21 +6,24 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ENTRY_TYPE = "file_name string, content binary"
+# Entries handed on together.
+BATCH_BYTES = 16 << 20
+BATCH_ENTRIES = 1_000
 
 
 def zip_entries(df: DataFrame, content: str, keep: list[str] | None = None) -> DataFrame:
     """One row per file entry of each archive in a binary column.
 
     Entries that cannot be decoded have null content; an archive that cannot be
-    opened gives one row with null name and content. Archives are handled one
-    at a time and entries are passed on one at a time, so a task holds one
-    archive and one entry. Directory entries give no row.
+    opened gives one row with null name and content. Archives are opened one at
+    a time and entries passed on in small batches, so a task never holds the
+    contents of a whole archive. Directory entries give no row.
     """
     keep = keep if keep is not None else [c for c in df.columns if c != content]
     schema = T.StructType(
@@ -45,15 +48,29 @@ def zip_entries(df: DataFrame, content: str, keep: list[str] | None = None) -> D
                         NotImplementedError, EOFError, zipfile.zlib.error):
                     yield info.filename, None
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False, name=None):
-                for name, body in entries(row[-1]):
-                    yield pd.DataFrame(
-                        [(*row[:-1], name, body)], columns=[*keep, "file_name", "content"]
-                    )
+            lead, archives = batch.select(keep), batch.column(len(keep))
+            rows, names, bodies, size = [], [], [], 0
 
-    return df.select(*keep, content).mapInPandas(unpack, schema)
+            def full() -> pa.RecordBatch:
+                columns = [lead.column(c).take(pa.array(rows)) for c in range(len(keep))]
+                columns += [pa.array(names, pa.string()), pa.array(bodies, pa.binary())]
+                return pa.RecordBatch.from_arrays(columns, names=[*keep, "file_name", "content"])
+
+            for i, data in enumerate(archives):
+                for name, body in entries(data.as_py()):
+                    rows.append(i)
+                    names.append(name)
+                    bodies.append(body)
+                    size += len(body or b"")
+                    if size > BATCH_BYTES or len(rows) >= BATCH_ENTRIES:
+                        yield full()
+                        rows, names, bodies, size = [], [], [], 0
+            if rows:
+                yield full()
+
+    return df.select(*keep, content).mapInArrow(unpack, schema)
 
 
 def read_zip_entries(

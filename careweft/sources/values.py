@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from careweft.operators.skew import SMALL_ROWS
+from careweft.operators.skew import SMALL_ROWS, lookup_join
 from careweft.sources.tables import replace_table
 
 
@@ -39,10 +39,10 @@ def in_population(
     """Fact rows whose key is in the population list.
 
     `rows` is the known length of the list. Up to 50,000 rows it is broadcast
-    and the facts stay in place; a longer or unknown one is left to the
-    planner, which looks at its size.
+    and the facts stay in place; a longer or unknown one is joined with large
+    keys of the facts taken apart.
     """
-    keys = population.select(*on).distinct()
+    keys = population.select(*on).dropna().distinct()
     if rows is not None and rows <= SMALL_ROWS:
-        keys = F.broadcast(keys)
-    return facts.join(keys, list(on), "left_semi")
+        return facts.join(F.broadcast(keys), list(on), "left_semi")
+    return lookup_join(facts, keys, on, "left_semi")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from careweft.operators.chains import assign_episode_chain
 from careweft.operators.ordered import OrderedKeys, add_group_index
-from careweft.operators.skew import hot_keys
+from careweft.operators import skew
+from careweft.operators.skew import hot_keys, lookup_join
 from careweft.operators.versions import latest_per_key
 from careweft.plans import episodes as ep
 
@@ -260,3 +261,51 @@ def test_long_stay_without_breaks(spark):
 def test_episodes_only(spark, claims):
     rows = ep.build_episodes(claims)
     both(spark, lambda **k: ep.episodes_only(rows, **k))
+    want = rows_of(ep.episodes_only(rows))
+    for floor in (NEVER, FLOOR):
+        table = ep.episode_table(claims, floor=floor, chain_floor=floor, chunk_rows=CHUNK)
+        assert rows_of(table) == want
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+@pytest.mark.parametrize("small", [True, False])
+def test_lookup_join(spark, claims, how, small, monkeypatch):
+    if not small:
+        monkeypatch.setattr(skew, "SMALL_ROWS", 0)
+    right = spark.createDataFrame(
+        [(1, "one"), (None, "none"), (3, "three"), (99, "no")], "k int, t string"
+    )
+    call = lambda floor: lookup_join(claims, right, ["mbi"], how, ["k"], floor, salts=4)
+    want, got = rows_of(call(NEVER)), rows_of(call(FLOOR))
+    assert want == got
+    keys = {r["mbi"] for r in call(FLOOR).collect()}
+    assert (1 in keys, None in keys) == (how != "left_anti",) * 2
+
+
+def test_long_list_of_large_keys(spark, claims, monkeypatch):
+    """More large keys than may be broadcast: they are kept in a stored table."""
+    want = rows_of(ep.assign_stays(claims, floor=NEVER))
+    monkeypatch.setattr(skew, "SMALL_ROWS", 1)
+    monkeypatch.setattr("careweft.operators.ordered.SMALL_ROWS", 1)
+    hot = hot_keys(claims, ["mbi"], FLOOR)
+    assert not hot.small and hot.rows == 360
+    assert rows_of(ep.assign_stays(claims, floor=FLOOR, chunk_rows=CHUNK)) == want
+
+
+def test_windows_with_a_large_key(spark, claims, monkeypatch):
+    from careweft.operators import intervals
+    from careweft.plans import metrics
+
+    eps = ep.episodes_only(ep.build_episodes(claims)).select(
+        "mbi", "stay_id", "stay_seq", "stay_end", F.col("stay_from_dt").alias("stay_beg_dt"),
+        "stay_end_dt", F.col("epsd_from_dt").alias("epsd_beg_dt"),
+        (F.col("claim_id") % 2).alias("discharged_home"),
+    )
+    ip = claims.select("mbi", "from_dt", "thru_dt", "pmt").filter("is_snf")
+    want = rows_of(metrics.episode_metrics(eps, ip, ip))
+    real = lookup_join
+    monkeypatch.setattr(
+        metrics, "lookup_join", lambda *a, **k: real(*a, **{**k, "floor": FLOOR})
+    )
+    assert rows_of(metrics.episode_metrics(eps, ip, ip)) == want
+    assert intervals.lookup_join is real
