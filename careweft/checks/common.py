@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_types(df: DataFrame, **types: str) -> DataFrame:
+    """Cast columns to the types the SQL gives."""
+    return df.withColumns({c: df[c].cast(t) for c, t in types.items()})
+
+
 class Registry:
     def __init__(self) -> None:
         self.queries: dict[str, Query] = {}

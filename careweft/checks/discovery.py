@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from careweft.checks.common import Registry, table
+from careweft.checks.common import Registry, as_types, table
 from careweft.functions.types import render_data_type
 from careweft.plans.catalog_search import (
     Inventory,
@@ -59,7 +59,8 @@ def _profile_sql(name: str, columns: list[tuple[str, str]], where: str = "") ->
 
 def _profiled(df):
     rounded = {c: F.round(c, 4) for c in ("average", "average_length")}
-    return profile_table(df).drop("data_type").withColumns(rounded)
+    profile = profile_table(df).drop("data_type").withColumns(rounded)
+    return as_types(profile, min_length="long", max_length="long")
 
 
 ORDER_COLUMNS = [

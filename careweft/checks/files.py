@@ -394,8 +394,7 @@ def html_anchor_links(spark, sf_dir):
 )
 def text_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    chunks = chunk_text(docs, "text")
-    return chunks.withColumn("chunk_no", F.col("chunk_no").cast("long"))
+    return chunk_text(docs, "text")
 
 
 @REGISTRY.add(
