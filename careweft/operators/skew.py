@@ -60,9 +60,10 @@ class HotKeys:
 def hot_keys(df: DataFrame, keys: Sequence[str], floor: int = HOT_ROWS) -> HotKeys | None:
     """Keys with more than `floor` rows, or None when there are none.
 
-    One job over the key columns, counted map-side before the shuffle. It is
-    skipped when the whole input is smaller than `floor` bytes: at one byte a
-    row no key could pass the floor.
+    One job over the key columns, counted map-side before the shuffle; at most
+    50,001 keys come to the driver. It is skipped when the whole input is
+    estimated at less than `floor` bytes. Rows mostly take more than a byte, so
+    at worst one task then sorts a small multiple of the floor.
     """
     size = estimated_bytes(df)
     if size is not None and size <= floor:
@@ -70,7 +71,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], floor: int = HOT_ROWS) -> HotKe
     counted = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > floor)
     )
-    head = counted.limit(SMALL_ROWS + 1).collect()
+    # With an order the limit is one job; a bare one would try partition after partition.
+    head = counted.orderBy(F.col("_n").desc()).limit(SMALL_ROWS + 1).collect()
     if not head:
         return None
     if len(head) <= SMALL_ROWS:
