@@ -9,13 +9,16 @@ from careweft.functions.types import render_data_type
 from careweft.plans.catalog_search import (
     Inventory,
     catalog_search,
+    inventory_of_catalog,
     inventory_of_frames,
     row_counts,
     table_sizes,
 )
 from careweft.plans.profile import profile_table
 from careweft.plans.value_search import search_full_rows, search_values
+from careweft.session import staging_path
 from careweft.sources.listing import list_files
+from careweft.sources.tables import create_view, replace_table
 
 REGISTRY = Registry()
 
@@ -161,6 +164,24 @@ def value_search_nested(spark, sf_dir):
     )
 
 
+@REGISTRY.add(
+    "value_search_nested_words",
+    """SELECT 'conversations' AS table_name, 'words' AS column_name,
+              'array<string>' AS column_type, count(*) AS row_count
+       FROM conversations
+       WHERE lower(CAST(to_json(string_split(text, ' ')) AS VARCHAR)) LIKE '%","the","%'
+       HAVING count(*) > 0""",
+)
+def value_search_nested_words(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "role", F.split("text", " ").alias("words")
+    )
+    found = search_values({"conversations": turns}, '","the","', nested=True)
+    return found.groupBy("table_name", "column_name", "column_type").agg(
+        F.sum("row_count").alias("row_count")
+    )
+
+
 @REGISTRY.add(
     "value_search_full_rows",
     """WITH hits AS (
@@ -254,6 +275,45 @@ def table_file_sizes(spark, sf_dir):
     return table_sizes(list_files(spark, sf_dir), F.substring_index("name", ".", 1))
 
 
+@REGISTRY.add(
+    "catalog_session_search",
+    """SELECT 'table' AS kind, 'careweft_cat_orders' AS object_name,
+              CAST(NULL AS VARCHAR) AS column_name, count(*) AS row_count FROM orders
+       UNION ALL
+       SELECT 'table', 'careweft_cat_orders', 'cat_priority', count(*) FROM orders
+       UNION ALL SELECT 'table', 'careweft_cat_customer', NULL, count(*) FROM customer
+       UNION ALL SELECT 'view', 'careweft_cat_view', NULL, NULL
+       UNION ALL SELECT 'view', 'careweft_cat_view', 'cat_orders', NULL
+       UNION ALL SELECT 'module', 'careweft_cat_view', NULL, NULL""",
+)
+def catalog_session_search(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("cat_priority")
+    )
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    replace_table(customer, "careweft_cat_customer", path=staging_path(spark, "cat_customer"))
+    name = "careweft_cat_orders"
+    replace_table(orders, name, path=staging_path(spark, name))
+    sql = f"SELECT count(*) AS cat_orders FROM {name}"
+    create_view(spark, "careweft_cat_view", sql, "orders, counted")
+    inventory = inventory_of_catalog(
+        spark, [spark.catalog.currentDatabase()], count_rows=True, name_like="careweft_cat_%"
+    )
+    scopes = ["table_names", "table_columns", "view_names", "view_columns", "modules"]
+    found = catalog_search(inventory, "CAT[_]", scopes)
+    kind = (
+        F.when(F.col("module_name").isNotNull(), "module")
+        .when(F.col("view_name").isNotNull(), "view")
+        .otherwise("table")
+    )
+    return found.select(
+        kind.alias("kind"),
+        F.coalesce("module_name", "view_name", "table_name").alias("object_name"),
+        "column_name",
+        "row_count",
+    )
+
+
 @REGISTRY.add(
     "definition_search",
     """SELECT '`' || lang || '`.`' || 'doc_' || doc_id || '`' AS qualified_name,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from careweft.functions.names import qualified_name, quote_name
 from careweft.functions.predicates import contains_text
+from careweft.functions.predicates import name_like as matches
 from careweft.functions.types import render_data_type, type_parts
 
 # Columns of a hit and their types.
@@ -245,18 +246,22 @@ def inventory_of_frames(
 
 
 def inventory_of_catalog(
-    spark: SparkSession, databases: Iterable[str] | None = None, count_rows: bool = False
+    spark: SparkSession,
+    databases: Iterable[str] | None = None,
+    count_rows: bool = False,
+    name_like: str = "%",
 ) -> Inventory:
     """Inventory of the session catalog: databases, tables, views, definitions.
 
-    Only metadata comes to the driver. Counting rows reads the tables.
+    `name_like` limits it to some tables and views. Only metadata comes to the
+    driver. Counting rows reads the tables.
     """
     names = list(databases) if databases else [d.name for d in spark.catalog.listDatabases()]
     tables, views, modules = [], [], []
     table_frames, view_frames = {}, {}
     for db in names:
         for t in spark.catalog.listTables(db):
-            if t.isTemporary:
+            if t.isTemporary or not matches(t.name, name_like):
                 continue
             full = f"{quote_name(db)}.{quote_name(t.name)}"
             details = {
