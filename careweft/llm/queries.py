@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from careweft.checks.common import Registry, table
-from careweft.llm import packing, token_files, transducer
+from careweft.llm import chat, packing, quality, sql, token_files, transducer
 from careweft.session import staging_path
 
 REGISTRY = Registry()
@@ -29,3 +30,21 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = staging_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
     return token_files.read_token_files(spark, folder)
+
+
+@REGISTRY.add("op1_quality_rules", sql.QUALITY)
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    base = F.col("failed").bitwiseAND(F.lit(quality.BASE)) != 0
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed",
+        base.alias("base_failed"), quality.verdict().alias("kept"),
+    )
+
+
+@REGISTRY.add("op2_chat_format", sql.CHAT)
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    conflicting = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(conflicting)
+    return chat.digests(chat.format_conversations(rows))
