@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careweft.checks.common import Registry, table
-from careweft.llm import chat, packing, quality, sql, token_files, transducer
+from careweft.llm import chat, html, packing, quality, sql, token_files, topk, transducer
 from careweft.session import staging_path
 
 REGISTRY = Registry()
@@ -48,3 +48,13 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conflicting = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(conflicting)
     return chat.digests(chat.format_conversations(rows))
+
+
+@REGISTRY.add("op4_exact_top_k", sql.TOP_K)
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), divisor=20, k=20, scale=64)
+
+
+@REGISTRY.add("op7_html_text")
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
