@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careweft.checks.common import Registry, table
-from careweft.llm import chat, html, packing, quality, sql, token_files, topk, transducer
+from careweft.llm import chat, html, near, packing, quality, sql, suffix, token_files, topk, transducer
 from careweft.session import staging_path
 
 REGISTRY = Registry()
@@ -58,3 +58,13 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("op7_html_text")
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@REGISTRY.add("op10_near_duplicates")
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"), per_cent=85)
+
+
+@REGISTRY.add("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeat_digests(table(spark, sf_dir, "documents"))
