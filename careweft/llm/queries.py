@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careweft.checks.common import Registry, table
-from careweft.llm import chat, html, near, packing, quality, sql, suffix, token_files, topk, transducer
+from careweft.llm import chat, html, licenses, near, packing, quality, sql, suffix, token_files, topk, transducer
 from careweft.session import staging_path
 
 REGISTRY = Registry()
@@ -68,3 +68,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_digests(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
