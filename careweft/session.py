@@ -36,18 +36,17 @@ def local_session(cores: str = "8", app: str = "careweft", **conf: str) -> Spark
 def staging_root(spark: SparkSession) -> str:
     """The cluster's shared folder: `spark.checkpoint.dir`.
 
-    A temporary folder is set only where the setting is missing, which is the
-    case in tests; on a cluster every executor must see the folder.
+    Without the setting a local session gets a temporary folder; any other master
+    raises, because its executors would each write to their own disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        found = spark.sparkContext.getCheckpointDir()
-        root = found or tempfile.mkdtemp(prefix="careweft-")
-        if not found:
-            spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
-    elif not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="careweft-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
+    spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
@@ -61,11 +60,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     A lost executor then costs a read of the table, not the plan before it, and
     later steps read only the columns they need. A checkpoint would do as well
-    but computes its last stage twice.
+    but computes its last stage twice. The folder stays for as long as the result may be
+    read lazily; `discard` removes it earlier, `discard_staged` all of a session's.
     """
     path = staging_path(df.sparkSession, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Remove the folder of a table that `cut_lineage` gave and nothing reads any more."""
+    _delete(table.sparkSession, table._staged_at)
+
+
+def discard_staged(spark: SparkSession) -> None:
+    """Remove everything staged below the shared folder; call it when all results of
+    the sessions that share the folder have been written."""
+    _delete(spark, f"{staging_root(spark).rstrip('/')}/careweft")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def size_shuffles(spark: SparkSession, input_bytes: int, per_task: int = 128 << 20) -> int:
