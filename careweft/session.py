@@ -46,7 +46,6 @@ def staging_root(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="careweft-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
-    spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
