@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from careweft.functions.predicates import as_column
 from careweft.operators.skew import (
+    AUTO,
     CHUNK_ROWS,
     HOT_ROWS,
     SMALL_ROWS,
@@ -25,7 +26,6 @@ from careweft.operators.skew import (
 
 CHUNK = "_chunk"
 WHOLE = -1  # range number of keys that are not cut
-AUTO = object()
 
 
 class OrderedKeys:
@@ -183,13 +183,14 @@ def add_group_index(
     tie_breaker: Sequence[Column | str] = (),
     floor: int = HOT_ROWS,
     chunk_rows: int = CHUNK_ROWS,
+    hot: HotKeys | None | object = AUTO,
 ) -> DataFrame:
     """Number the rows of each group from `base` by `step`, in sort order.
 
     Column order: group columns, all others, the index. Types are kept. A sort
     that leaves ties makes the index arbitrary among them; name a tie breaker.
     """
-    rows = OrderedKeys(df, group_by, [*sort, *tie_breaker], floor, chunk_rows)
+    rows = OrderedKeys(df, group_by, [*sort, *tie_breaker], floor, chunk_rows, hot)
     numbered = rows.running(sums={"_rn": F.lit(1).cast("long")}).frame
     others = [c for c in df.columns if c not in set(group_by)]
     index = F.lit(base) + (F.col("_rn") - 1) * F.lit(step)

@@ -23,14 +23,8 @@ HOT_ROWS = 5_000_000
 CHUNK_ROWS = 2_000_000
 # Largest number of key rows held by the driver or broadcast.
 SMALL_ROWS = 50_000
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan; None where it cannot be read."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except (AttributeError, ValueError):
-        return None
+# Count keys when the operator is called.
+AUTO = object()
 
 
 @dataclass(frozen=True)
@@ -61,13 +55,11 @@ def hot_keys(df: DataFrame, keys: Sequence[str], floor: int = HOT_ROWS) -> HotKe
     """Keys with more than `floor` rows, or None when there are none.
 
     One job over the key columns, counted map-side before the shuffle; at most
-    50,001 keys come to the driver. It is skipped when the whole input is
-    estimated at less than `floor` bytes. Rows mostly take more than a byte, so
-    at worst one task then sorts a small multiple of the floor.
+    50,001 keys come to the driver. Keys are always counted: no size estimate
+    says how many rows a plan gives. Operators take the result as `hot`, so that
+    a base table is counted once for all operators over its keys; None says
+    that no key is large.
     """
-    size = estimated_bytes(df)
-    if size is not None and size <= floor:
-        return None
     counted = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > floor)
     )
@@ -111,6 +103,7 @@ def lookup_join(
     right_on: Sequence[str] | None = None,
     floor: int = HOT_ROWS,
     salts: int = 256,
+    hot: HotKeys | None | object = AUTO,
 ) -> DataFrame:
     """Join rows to a lookup of about one row per key, for left keys of any size.
 
@@ -127,7 +120,7 @@ def lookup_join(
     match = reduce(lambda a, b: a & b, tests)
     extra = [f"_r_{i}" for i in range(len(on))]
 
-    hot = hot_keys(left, on, floor)
+    hot = hot_keys(left, on, floor) if hot is AUTO else hot
     if hot is None:
         return left.join(named, match, how).drop(*extra)
     keys = HotKeys(tuple(extra), hot.table.toDF(*extra, "_n"), hot.rows, hot.small)

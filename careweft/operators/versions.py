@@ -7,11 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from careweft.operators.skew import HOT_ROWS, hot_keys
+from careweft.operators.skew import AUTO, HOT_ROWS, HotKeys, hot_keys
 
 
 def latest_per_key(
-    df: DataFrame, keys: Sequence[str], version: str, floor: int = HOT_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    version: str,
+    floor: int = HOT_ROWS,
+    hot: HotKeys | None | object = AUTO,
 ) -> DataFrame:
     """Rows whose version is the largest of their key; ties at the top all stay.
 
@@ -26,7 +30,7 @@ def latest_per_key(
         kept = part.withColumn("_rank", F.rank().over(newest)).filter(F.col("_rank") == 1)
         return kept.filter(F.col(version).isNotNull()).drop("_rank")
 
-    hot = hot_keys(df, keys, floor)
+    hot = hot_keys(df, keys, floor) if hot is AUTO else hot
     if hot is None:
         return ranked(df)
     rows = hot.hot_part(df)

@@ -45,13 +45,14 @@ def stay_flag(
     out: str = "stay_flag",
     floor: int = HOT_ROWS,
     chunk_rows: int = CHUNK_ROWS,
+    hot: HotKeys | None | object = AUTO,
 ) -> DataFrame:
     """1 where a stay begins, 0 where it goes on, null where the claim is no stay.
 
     A claim goes on with a stay when the claim right before it (of any type) is
     of the type too, has the same provider and ended at most `gap_days` earlier.
     """
-    rows = OrderedKeys(df.withColumn("_is", is_type), [key], order, floor, chunk_rows)
+    rows = OrderedKeys(df.withColumn("_is", is_type), [key], order, floor, chunk_rows, hot)
     rows = rows.previous(
         {"_was": "_is", "_provider": provider, "_thru": thru_dt}, flag="_has"
     )
@@ -86,10 +87,11 @@ def chain_anchors(
     gap: int = 61,
     floor: int = HOT_ROWS,
     chunk_rows: int = CHUNK_ROWS,
+    hot: HotKeys | None | object = AUTO,
 ) -> DataFrame:
     """Claims without a predecessor: no claim numbered one less of the same key
     and provider that ended within `gap` days before this one began."""
-    rows = OrderedKeys(df, [columns.key], [columns.seq], floor, chunk_rows)
+    rows = OrderedKeys(df, [columns.key], [columns.seq], floor, chunk_rows, hot)
     found = _anchored(rows, columns, gap).frame
     return found.filter(F.col("is_anchor") == 1).select(*df.columns)
 
@@ -183,15 +185,16 @@ def build_episodes(
     floor: int = HOT_ROWS,
     chain_floor: int = CHAIN_ROWS,
     chunk_rows: int = CHUNK_ROWS,
+    large: HotKeys | None | object = AUTO,
 ) -> DataFrame:
     """Walk the claims of each stay and cut them in episodes of `limit` days.
 
     A claim that would push the running service days over the limit starts a
     recertification episode; totals restart there. One row per claim with the
     running values of its episode. All steps share one shuffle by key unless a
-    key is too large for a task.
+    key is too large for a task. `large`: keys above `chain_floor`, if known.
     """
-    large = hot_keys(df, [columns.key], chain_floor)
+    large = hot_keys(df, [columns.key], chain_floor) if large is AUTO else large
     return _episode_rows(df, columns, limit, gap, floor, chain_floor, chunk_rows, large)
 
 
@@ -295,10 +298,11 @@ def episode_table(
     floor: int = HOT_ROWS,
     chain_floor: int = CHAIN_ROWS,
     chunk_rows: int = CHUNK_ROWS,
+    large: HotKeys | None | object = AUTO,
 ) -> DataFrame:
     """Claims to one row per episode. Large keys are looked for once, in the
     claims, and not again in what is computed from them."""
-    large = hot_keys(df, [columns.key], chain_floor)
+    large = hot_keys(df, [columns.key], chain_floor) if large is AUTO else large
     rows = _episode_rows(df, columns, limit, gap, floor, chain_floor, chunk_rows, large)
     if large is not None:
         rows = cut_lineage(rows)
@@ -313,11 +317,12 @@ def first_row_values(
     prefix: str = "first_",
     floor: int = HOT_ROWS,
     chunk_rows: int = CHUNK_ROWS,
+    hot: HotKeys | None | object = AUTO,
 ) -> DataFrame:
     """Values of the row numbered 1 on every row of its key: a self join to one
     anchor row, done as a running value."""
     anchor = F.when(F.col(seq) == 1, F.struct(*[F.col(v).alias(v) for v in values]))
-    rows = OrderedKeys(df, keys, [seq], floor, chunk_rows).running(latest={"_a": anchor})
+    rows = OrderedKeys(df, keys, [seq], floor, chunk_rows, hot).running(latest={"_a": anchor})
     return rows.frame.filter(F.col("_a").isNotNull()).select(
         *df.columns, *[F.col("_a")[v].alias(f"{prefix}{v}") for v in values]
     )
@@ -333,6 +338,7 @@ def episode_chain_step(
     end: str = "episode_end",
     floor: int = HOT_ROWS,
     chunk_rows: int = CHUNK_ROWS,
+    hot: HotKeys | None | object = AUTO,
 ) -> DataFrame:
     """One iteration of chain assignment: number episode `step`, mark the first
     row of the next.
@@ -342,7 +348,7 @@ def episode_chain_step(
     uses `assign_episode_chain`, which needs no iteration.
     """
     if step == 1:
-        rows = first_row_values(df, keys, seq, [count], "_first_", floor, chunk_rows)
+        rows = first_row_values(df, keys, seq, [count], "_first_", floor, chunk_rows, hot)
         last = F.col(f"_first_{count}")
         return (
             rows.withColumn(
@@ -353,7 +359,9 @@ def episode_chain_step(
         )
     opened = df.withColumn("_open", F.coalesce(F.col(episode), F.lit(step)) == step)
     first = F.struct((-F.col(seq)).alias("o"), F.col(seq).alias("s"), F.col(count).alias("n"))
-    rows = OrderedKeys(opened, [*keys, "_open"], [seq], floor, chunk_rows).running(
+    # A part of a key is no larger than the key: without large keys there is none here.
+    parts = None if hot is None else AUTO
+    rows = OrderedKeys(opened, [*keys, "_open"], [seq], floor, chunk_rows, parts).running(
         latest={"_f": first}
     )
     last = F.col("_f.s") + F.col("_f.n") - 1

@@ -13,7 +13,7 @@ from careweft.operators.intervals import (
     events_in_window,
     windows_totals,
 )
-from careweft.operators.skew import lookup_join
+from careweft.operators.skew import AUTO, HotKeys, lookup_join
 from careweft.session import cut_lineage
 
 
@@ -74,6 +74,7 @@ def episode_metrics(
     fill: int | None = None,
     labels: Mapping[str, str] | None = None,
     stage: bool = True,
+    hot: HotKeys | None | object = AUTO,
 ) -> DataFrame:
     """Episode columns, the episode year and seven stay measures.
 
@@ -82,7 +83,8 @@ def episode_metrics(
     cost asks for an inpatient event before the stay, the readmission flag for
     one after it; both ask for a discharge to home. `labels` renames columns.
     Episodes are read twice, for the windows and for the result; unless they
-    are a stored table (`stage=False`) they are written once first.
+    are a stored table (`stage=False`) they are written once first. `hot`: keys with too many
+    episodes for a task, if known.
     """
     if stage:
         episodes = cut_lineage(episodes)
@@ -102,7 +104,7 @@ def episode_metrics(
             DayWindow("_emergency", "emergency_from", stay_begin_dt, 0, 60),
         ],
     )
-    rows = lookup_join(episodes, totals, [key, stay_begin_dt, stay_end_dt])
+    rows = lookup_join(episodes, totals, [key, stay_begin_dt, stay_end_dt], hot=None if hot is None else AUTO)
     last = F.col(stay_end) == 1
     at_home = last & (F.col(home) == 1)
 
