@@ -12,7 +12,6 @@ from careweft.plans.catalog_search import (
     inventory_of_catalog,
     inventory_of_frames,
     row_counts,
-    table_sizes,
 )
 from careweft.plans.profile import profile_table
 from careweft.plans.value_search import search_full_rows, search_values
@@ -102,13 +101,10 @@ def profile_empty_table(spark, sf_dir):
     return _profiled(table(spark, sf_dir, "customer").filter("c_acctbal > 1e12"))
 
 
-SEARCHED = ["region", "nation", "supplier", "customer", "part"]
-
-
 def _search_sql(columns: list[tuple[str, str, str]], like: str) -> str:
     parts = [
         f"""SELECT '{t}' AS table_name, '{c}' AS column_name,
-        substr(CAST({c} AS VARCHAR), 1, 4096) AS column_value, '{kind}' AS column_type
+        CAST({c} AS VARCHAR) AS column_value, '{kind}' AS column_type
         FROM {t} WHERE lower(CAST({c} AS VARCHAR)) LIKE '{like}'"""
         for t, c, kind in columns
     ]
@@ -124,35 +120,55 @@ TEXT_COLUMNS = [
     ("supplier", "s_name", "string"), ("customer", "c_name", "string"),
     ("customer", "c_mktsegment", "string"), ("part", "p_name", "string"),
     ("part", "p_brand", "string"), ("part", "p_type", "string"),
+    ("orders", "o_orderstatus", "string"), ("orders", "o_orderpriority", "string"),
+    ("lineitem", "l_returnflag", "string"), ("lineitem", "l_linestatus", "string"),
+    ("events", "event_type", "string"), ("events", "props", "string"),
+    ("documents", "text", "string"), ("documents", "lang", "string"),
+    ("documents", "source", "string"), ("pages", "url", "string"), ("pages", "html", "string"),
+    ("benchmark", "text", "string"), ("conversations", "role", "string"),
+    ("conversations", "text", "string"),
 ]
 NUMBER_COLUMNS = [
     ("region", "r_regionkey", "int"), ("nation", "n_nationkey", "int"),
     ("nation", "n_regionkey", "int"), ("supplier", "s_suppkey", "bigint"),
     ("supplier", "s_nationkey", "int"), ("customer", "c_custkey", "bigint"),
     ("customer", "c_nationkey", "int"), ("part", "p_partkey", "bigint"),
-    ("part", "p_size", "int"),
+    ("part", "p_size", "int"), ("orders", "o_orderkey", "bigint"),
+    ("orders", "o_custkey", "bigint"), ("lineitem", "l_orderkey", "bigint"),
+    ("lineitem", "l_partkey", "bigint"), ("lineitem", "l_suppkey", "bigint"),
+    ("lineitem", "l_linenumber", "int"), ("events", "event_id", "bigint"),
+    ("events", "user_id", "bigint"), ("documents", "doc_id", "bigint"),
+    ("documents", "n_chars", "bigint"), ("embeddings", "vec_id", "bigint"),
+    ("embeddings", "label", "int"), ("pages", "page_id", "bigint"),
+    ("benchmark", "item_id", "bigint"), ("labels", "doc_id", "bigint"),
+    ("labels", "quality", "int"), ("labels", "toxic", "int"),
+    ("conversations", "conv_id", "bigint"), ("conversations", "turn", "bigint"),
 ]
 
 
 @REGISTRY.add("value_search", _search_sql(TEXT_COLUMNS, "%in%"))
 def value_search(spark, sf_dir):
-    return search_values(frames(spark, sf_dir, SEARCHED), "IN")
+    return search_values(frames(spark, sf_dir), "IN")
 
 
 @REGISTRY.add("value_search_numeric", _search_sql(TEXT_COLUMNS + NUMBER_COLUMNS, "%1_7%"))
 def value_search_numeric(spark, sf_dir):
-    return search_values(frames(spark, sf_dir, SEARCHED), "1_7")
+    return search_values(frames(spark, sf_dir), "1_7")
 
 
 @REGISTRY.add(
     "value_search_all_texts",
     _search_sql(
-        [("documents", "text", "string"), ("conversations", "text", "string")], "%license%"
+        [
+            ("documents", "text", "string"), ("conversations", "text", "string"),
+            ("benchmark", "text", "string"), ("pages", "html", "string"),
+        ],
+        "%license%",
     ),
 )
 def value_search_all_texts(spark, sf_dir):
-    tables = frames(spark, sf_dir, ["documents", "conversations", "pages"])
-    return search_values(tables, "license", column_like="te_t")
+    whole = search_values(frames(spark, sf_dir), "license", column_like="te_t")
+    return whole.unionByName(search_values(frames(spark, sf_dir), "license", column_like="html"))
 
 
 @REGISTRY.add("value_search_nested")
@@ -270,11 +286,6 @@ def catalog_table_sizes(spark, sf_dir):
     return found.select("qualified_name", "table_name", "row_count", "size_kb")
 
 
-@REGISTRY.add("table_file_sizes")
-def table_file_sizes(spark, sf_dir):
-    return table_sizes(list_files(spark, sf_dir), F.substring_index("name", ".", 1))
-
-
 @REGISTRY.add(
     "catalog_session_search",
     """SELECT 'table' AS kind, 'careweft_cat_orders' AS object_name,

@@ -1,11 +1,7 @@
-"""File, table, archive and page queries."""
+"""File, table and page queries."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from careweft.checks.common import Registry, table
@@ -14,7 +10,6 @@ from careweft.functions.text import chunk_text, expand_tabs, text_pieces
 from careweft.functions.times import stamp_text
 from careweft.session import staging_path
 from careweft.sources import listing
-from careweft.sources.archives import entry_lines, zip_entries
 from careweft.sources.delimited import marked_files, read_delimited, read_wide_csv
 from careweft.sources.links import extract_links
 from careweft.sources.tables import create_view, replace_table
@@ -194,11 +189,6 @@ def extension_sort_key(spark, sf_dir):
     return listing.distinct_extensions(files(spark, sf_dir))
 
 
-@REGISTRY.add("file_listing")
-def file_listing(spark, sf_dir):
-    return listing.list_files(spark, sf_dir, zone="EST", pattern="*.parquet", label_times=True)
-
-
 def _write_csv(df, name: str, **options) -> str:
     path = staging_path(df.sparkSession, name)
     writer = df.write.option("header", True).option("escape", '"')
@@ -323,48 +313,6 @@ def values_into_table(spark, sf_dir):
     return kept.join(F.broadcast(saved), "c_custkey").select("c_custkey", "c_name", "note")
 
 
-PER_ARCHIVE = 50
-
-
-def archives(spark, sf_dir):
-    """ZIP archives of 50 documents each."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr("folder/", "")
-            for row in pdf.sort_values("doc_id").itertuples():
-                archive.writestr(f"folder/doc_{row.doc_id}.txt", row.text)
-        return pd.DataFrame({"archive": [pdf["archive"].iloc[0]], "content": [out.getvalue()]})
-
-    docs = table(spark, sf_dir, "documents").select(
-        F.expr(f"doc_id div {PER_ARCHIVE}").alias("archive"), "doc_id", "text"
-    )
-    return docs.groupBy("archive").applyInPandas(pack, "archive bigint, content binary")
-
-
-@REGISTRY.add(
-    "zip_entries",
-    f"""SELECT doc_id // {PER_ARCHIVE} AS archive, 'folder/doc_' || doc_id || '.txt' AS file_name,
-              text FROM documents""",
-)
-def zipped_entries(spark, sf_dir):
-    found = zip_entries(archives(spark, sf_dir), "content")
-    return found.select("archive", "file_name", F.decode("content", "UTF-8").alias("text"))
-
-
-@REGISTRY.add(
-    "zip_entry_lines",
-    """WITH l AS (SELECT doc_id, string_split(rtrim(text, chr(13) || chr(10)), chr(10)) AS lines
-               FROM documents)
-    SELECT 'folder/doc_' || doc_id || '.txt' AS file_name,
-           unnest(range(1, len(lines) + 1)) AS line_no, unnest(lines) AS line FROM l""",
-)
-def zip_entry_lines(spark, sf_dir):
-    lines = entry_lines(zip_entries(archives(spark, sf_dir), "content"))
-    return lines.select("file_name", F.col("line_no").cast("long").alias("line_no"), "line")
-
-
 @REGISTRY.add(
     "html_anchor_links",
     """WITH found AS (

@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 from careweft.functions.names import quote_name
 from careweft.functions.predicates import contains_text, name_like
 
-VALUE_LENGTH = 4096
-
 
 def is_numeric_pattern(pattern: str) -> bool:
     """Whether the pattern is a number once wildcards and dashes are taken out."""
@@ -73,7 +71,7 @@ def _hits(df: DataFrame, pattern: str, columns: Mapping[str, Column], extra: Seq
     for name, text in columns.items():
         hit = F.struct(
             F.lit(name).alias("column_name"),
-            F.substring(text, 1, VALUE_LENGTH).alias("column_value"),
+            text.alias("column_value"),
             F.lit(df.schema[name].dataType.simpleString()).alias("column_type"),
         )
         hits.append(F.when(contains_text(text, pattern), hit))
@@ -105,13 +103,14 @@ def search_values(
     column_like: str = "%",
     nested: bool = False,
     order: str | None = None,
+    shown: int | None = None,
     **types: bool,
 ) -> DataFrame:
     """Distinct values that contain the pattern, with their number of rows.
 
-    Each table is scanned once for all of its columns. Values are cut after
-    4,096 characters for the report; the whole value is searched. `order` is
-    `count` (most frequent first) or `name`.
+    Each table is scanned once for all of its columns. Whole values are searched
+    and told apart; `shown` cuts them for the report only, after they are counted.
+    `order` is `count` (most frequent first) or `name`.
     """
     options = {"column_like": column_like, "nested": nested, **types}
     keys = ["table_name", "column_name", "column_value", "column_type"]
@@ -121,6 +120,8 @@ def search_values(
     ]
     hits = _stack(parts, tables, ", ".join(f"{k} string" for k in keys))
     found = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"))
+    if shown is not None:
+        found = found.withColumn("column_value", F.substring("column_value", 1, shown))
     if order == "count":
         return found.orderBy(F.col("row_count").desc(), *keys[:3])
     return found.orderBy(*keys[:3]) if order == "name" else found

@@ -150,10 +150,16 @@ def test_value_search_types(spark):
 
 def test_long_values_are_searched_whole(spark):
     df = spark.createDataFrame([("a" * 5000 + "needle",)], "t string")
-    row = search_values({"x": df}, "NEEDLE").first()
+    row = search_values({"x": df}, "NEEDLE", shown=4096).first()
     assert row["column_value"] == "a" * 4096 and row["row_count"] == 1
 
 
+def test_long_values_with_one_beginning_stay_apart(spark):
+    df = spark.createDataFrame([("a" * 5000 + "one",), ("a" * 5000 + "two",)], "t string")
+    assert {r["row_count"] for r in search_values({"x": df}, "aaa").collect()} == {1}
+    assert search_values({"x": df}, "aaa", shown=10).count() == 2
+
+
 def test_full_rows_limit(spark):
     df = spark.range(10).select("id", F.lit("hit").alias("t"), F.lit("hit").alias("u"))
     count = lambda n: search_full_rows({"x": df}, "hit", n, order={"x": ["id"]}).groupBy(
