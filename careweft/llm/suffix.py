@@ -37,10 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from careweft.llm import rolling
-from careweft.session import cut_lineage
+from careweft.session import cut_lineage, discard
 
-SIZE, GRAM = 200, 48
-GROUP_ROWS = 4096
+SIZE, GRAM = 200, 32
+GROUP_ROWS, BATCH_ROWS = 12_000, 4096
+OFFSETS = 32
 
 
 def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -96,7 +97,7 @@ def surroundings(keyed: DataFrame, wanted: DataFrame, size: int, gram: int) -> D
     """`wanted` (gram, row, at, lone) with `left`, the number of bytes before the place, and
     `bytes`, those and `size` bytes from it on."""
     reach = size - gram
-    per_row = wanted.groupBy("row").agg(F.collect_list(F.struct("gram", "at", "lone")).alias("wanted"))
+    per_row = wanted.repartition("row").groupBy("row").agg(F.collect_list(F.struct("gram", "at", "lone")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
@@ -132,18 +133,21 @@ def _packed(keyed: DataFrame) -> DataFrame:
     return keyed.select("rest", "row", "text").mapInArrow(run, schema)
 
 
-def window_hashes(left: np.ndarray, parts: list[bytes], size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row and offset x (the window starts x bytes before the place): its hash, and whether it
-    lies in the text. Hashes compare within one offset."""
+def window_sums(left: np.ndarray, parts: list[bytes], size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix sums of surroundings, their places in one column; first and end column of each."""
     reach = size - gram
-    table = np.zeros((len(parts), reach + size), "u1")
-    sizes = np.array([len(p) for p in parts])
-    column = np.arange(reach + size)
+    table, column = np.zeros((len(parts), reach + size), "u1"), np.arange(reach + size)
     first = reach - left[:, None]
-    table[(column >= first) & (column < first + sizes[:, None])] = np.frombuffer(b"".join(parts), "u1")
-    sums = rolling.prefix(table)
-    starts = reach - np.arange(reach + 1)
-    inside = (starts >= first) & (starts + size <= first + sizes[:, None])
+    last = first + np.array([len(p) for p in parts])[:, None]
+    table[(column >= first) & (column < last)] = np.frombuffer(b"".join(parts), "u1")
+    return rolling.prefix(table), first, last
+
+
+def window_hashes(sums: np.ndarray, first: np.ndarray, last: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row and offset x (the window starts x bytes before the place): its hash, and whether it
+    lies in the text. Hashes compare within one offset."""
+    starts = size - gram - offsets
+    inside = (starts >= first) & (starts + size <= last)
     return rolling.mix(sums[:, starts + size] - sums[:, starts]), inside
 
 
@@ -162,19 +166,23 @@ def compare_surroundings(rows: DataFrame, size: int, gram: int) -> DataFrame:
 
     def settle(held: list[tuple]) -> pa.RecordBatch:
         grams, owners, places, lone, left, parts = zip(*held, strict=True)
-        grams, places = np.array(grams, "i8").view("u8"), np.array(places, "i8")
-        hashes, inside = window_hashes(np.array(left), list(parts), size, gram)
-        hashes = rolling.mix(hashes ^ (grams * np.uint64(0x9E3779B97F4A7C15))[:, None])
-        order = np.argsort(hashes, axis=0, kind="stable")
-        sorted_ = np.take_along_axis(hashes, order, axis=0)
-        valid = np.take_along_axis(inside, order, axis=0)
-        same = (sorted_[1:] == sorted_[:-1]) & valid[1:] & valid[:-1]
-        twice = np.zeros_like(inside)
-        twice[1:] |= same
-        twice[:-1] |= same
-        repeated = np.zeros_like(inside)
-        np.put_along_axis(repeated, order, twice, axis=0)
-        repeated &= np.array(lone)[:, None]
+        places, lone = np.array(places, "i8"), np.array(lone)
+        salt = (np.array(grams, "i8").view("u8") * np.uint64(0x9E3779B97F4A7C15))[:, None]
+        repeated = np.zeros((len(held), size - gram + 1), bool)
+        sums, first, last = window_sums(np.array(left), list(parts), size, gram)
+        for low in range(0, size - gram + 1, OFFSETS):
+            offsets = np.arange(low, min(low + OFFSETS, size - gram + 1))
+            hashes, inside = window_hashes(sums, first, last, offsets, size, gram)
+            hashes = rolling.mix(hashes ^ salt)
+            order = np.argsort(hashes, axis=0, kind="stable")
+            sorted_, valid = (np.take_along_axis(x, order, axis=0) for x in (hashes, inside))
+            same = (sorted_[1:] == sorted_[:-1]) & valid[1:] & valid[:-1]
+            twice = np.zeros_like(inside)
+            twice[1:] |= same
+            twice[:-1] |= same
+            found = np.zeros_like(inside)
+            np.put_along_axis(found, order, twice, axis=0)
+            repeated[:, offsets] = found & lone[:, None]
         row, start, end = _runs(places, repeated, size)
         return pa.RecordBatch.from_arrays([pa.array(np.array(owners, "i8")[row]), pa.array(start), pa.array(end)], names=["row", "start", "end"])
 
@@ -182,7 +190,7 @@ def compare_surroundings(rows: DataFrame, size: int, gram: int) -> DataFrame:
         held: list[tuple] = []
         for batch in batches:
             for item in zip(*[batch.column(c).to_pylist() for c in ("gram", "row", "at", "lone", "left", "bytes")], strict=True):
-                if len(held) >= GROUP_ROWS and held[-1][0] != item[0]:
+                if len(held) >= BATCH_ROWS and held[-1][0] != item[0]:
                     yield settle(held)
                     held = []
                 held.append(item)
@@ -200,18 +208,20 @@ def count_windows(rows: DataFrame, size: int, gram: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left = batch.column("left").to_numpy()
-            hashes, inside = window_hashes(left, batch.column("bytes").to_pylist(), size, gram)
-            row, offset = np.nonzero(inside)
-            columns = [
-                batch.column("gram").take(pa.array(row)),
-                pa.array(offset.astype("i4")),
-                pa.array(hashes[row, offset].view("i8")),
-                batch.column("row").take(pa.array(row)),
-                pa.array(batch.column("at").to_numpy()[row].astype("i8") - offset),
-                batch.column("lone").take(pa.array(row)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["gram", "offset", "window", "row", "start", "lone"])
+            sums, first, last = window_sums(batch.column("left").to_numpy(), batch.column("bytes").to_pylist(), size, gram)
+            for low in range(0, size - gram + 1, OFFSETS):
+                offsets = np.arange(low, min(low + OFFSETS, size - gram + 1))
+                hashes, inside = window_hashes(sums, first, last, offsets, size, gram)
+                row, at = np.nonzero(inside)
+                columns = [
+                    batch.column("gram").take(pa.array(row)),
+                    pa.array(offsets[at].astype("i4")),
+                    pa.array(hashes[row, at].view("i8")),
+                    batch.column("row").take(pa.array(row)),
+                    pa.array(batch.column("at").to_numpy()[row].astype("i8") - offsets[at]),
+                    batch.column("lone").take(pa.array(row)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "offset", "window", "row", "start", "lone"])
 
     windows = rows.mapInArrow(run, "gram long, offset int, window long, row long, start long, lone boolean")
     key = ["gram", "offset", "window"]
@@ -220,25 +230,28 @@ def count_windows(rows: DataFrame, size: int, gram: int) -> DataFrame:
 
 
 def repeated_spans(keyed: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(row, start, end): spans whose union is every byte under a repeated window."""
+    """(row, span): spans whose union is every byte under a repeated window; a span
+    is start * 2**32 + end, and its end may lie behind the text."""
     reach = size - gram
     places = cut_lineage(places_of(keyed, size, gram))
     first = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("low"), F.max("around").alias("high"))
     first = first.filter("n > 1").select("gram", (F.col("low") == F.col("high")).alias("alike"))
     left_over = cut_lineage(places.join(first, "gram"))
+    discard(places)
     mixed = left_over.filter(~F.col("alike"))
     one = F.struct("row", "at")
     second = cut_lineage(mixed.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one")))
     settled = mixed.join(second.filter("n > 1").select("gram", "around"), ["gram", "around"]).select("row", "at")
     settled = left_over.filter("alike").select("row", "at").unionByName(settled)
-    whole = settled.select("row", F.greatest(F.lit(0), F.col("at") - reach).cast("long").alias("start"), (F.col("at") + size).cast("long").alias("end"))
+    start, end = F.greatest(F.lit(0), F.col("at") - reach).cast("long"), F.col("at") + size
+    whole = settled.select("row", (F.shiftleft(start, 32) + end).alias("span"))
 
     wanted = second.select("gram", F.col("one.row").alias("row"), F.col("one.at").alias("at"), (F.col("n") == 1).alias("lone"))
     around = cut_lineage(surroundings(keyed, wanted, size, gram))
     many = around.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS).select("gram")
     few = around.join(many, "gram", "left_anti")
     spans = compare_surroundings(few, size, gram).unionByName(count_windows(around.join(many, "gram", "left_semi"), size, gram))
-    return whole.unionByName(spans)
+    return whole.unionByName(spans.select("row", (F.shiftleft("start", 32) + F.col("end")).alias("span")))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -253,17 +266,19 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 def _cut(docs: DataFrame, size: int, gram: int, finish, types: dict[str, pa.DataType], schema: StructType) -> DataFrame:
     """`rest` and what `finish(bytes, removed runs)` gives for each row, as `schema` names it."""
     keyed = _keyed(docs)
-    spans = repeated_spans(keyed, size, gram).groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    joined = _packed(keyed).join(spans, "row", "left").select("rest", "packed", "starts", "ends")
+    # Dealt out before they are listed: lists of one or two spans would be larger than the spans.
+    spans = repeated_spans(keyed, size, gram).repartition("row").groupBy("row").agg(F.collect_list("span").alias("spans"))
+    joined = _packed(keyed).join(spans, "row", "left").select("rest", "packed", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for packed, starts, ends in zip(*[batch.column(c) for c in ("packed", "starts", "ends")], strict=True):
+            for packed, found in zip(batch.column("packed"), batch.column("spans"), strict=True):
                 data, runs = expand(packed.as_py()), []
-                if starts.is_valid:
-                    runs = merged(starts.values.to_numpy(), np.minimum(ends.values.to_numpy(), len(data)))
+                if found.is_valid:
+                    span = found.values.to_numpy()
+                    runs = merged(span >> 32, np.minimum(span & 0xFFFFFFFF, len(data)))
                 out.append(finish(data, runs))
             columns = [pa.array([row[i] for row in out], t) for i, t in enumerate(types.values())]
             yield pa.RecordBatch.from_arrays([batch.column("rest"), *columns], names=["rest", *types])
