@@ -309,7 +309,7 @@ def values_into_table(spark, sf_dir):
     name = "careweft_chosen"
     saved = replace_table(chosen, name, path=staging_path(spark, name))
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    kept = in_population(customers, saved, ["c_custkey"], rows=len(rows))
+    kept = in_population(customers, saved, ["c_custkey"])
     return kept.join(F.broadcast(saved), "c_custkey").select("c_custkey", "c_name", "note")
 
 

@@ -374,13 +374,13 @@ def code_table_decode(spark, sf_dir):
         pick("XYNQ", 1, F.col("o_custkey") % 4).alias("sole"),
     )
     steps = [
-        ("entity", "entity_type", "entity_type_code", ["entity_type"], 2),
-        ("state_code_", "state", "state_code", ["state", "state_type"], 60),
-        ("country_code_", "country", "country_code", ["country"], 236),
-        ("sole", "sole_proprietor", "sole_proprietor_code", ["sole_proprietor"], 3),
+        ("entity", "entity_type", "entity_type_code", ["entity_type"]),
+        ("state_code_", "state", "state_code", ["state", "state_type"]),
+        ("country_code_", "country", "country_code", ["country"]),
+        ("sole", "sole_proprietor", "sole_proprietor_code", ["sole_proprietor"]),
     ]
-    for column, name, code, texts, rows in steps:
-        coded = decode(coded, column, provider_code_table(spark, name), code, texts, rows)
+    for column, name, code, texts in steps:
+        coded = decode(coded, column, provider_code_table(spark, name), code, texts)
     return coded.select(
         "o_orderkey", "entity_type", "state", "state_type", "country", "sole_proprietor"
     )
@@ -438,4 +438,4 @@ def values_population(spark, sf_dir):
         spark, POPULATION, "o_custkey bigint, segment string", distinct=True
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    return in_population(orders, chosen, ["o_custkey"], rows=len(POPULATION))
+    return in_population(orders, chosen, ["o_custkey"])

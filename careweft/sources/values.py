@@ -34,15 +34,14 @@ def values_df(
 
 
 def in_population(
-    facts: DataFrame, population: DataFrame, on: Sequence[str], rows: int | None = None
+    facts: DataFrame, population: DataFrame, on: Sequence[str]
 ) -> DataFrame:
     """Fact rows whose key is in the population list.
 
-    `rows` is the known length of the list. Up to 50,000 rows it is broadcast
-    and the facts stay in place; a longer or unknown one is joined with large
-    keys of the facts taken apart.
+    The list is counted, up to 50,001 rows. Up to 50,000 it is broadcast and the facts
+    stay in place; a longer one is joined with large keys of the facts taken apart.
     """
     keys = population.select(*on).dropna().distinct()
-    if rows is not None and rows <= SMALL_ROWS:
+    if keys.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
         return facts.join(F.broadcast(keys), list(on), "left_semi")
     return lookup_join(facts, keys, on, "left_semi")

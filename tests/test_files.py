@@ -144,7 +144,7 @@ def test_tables_and_views(spark):
     assert text["data_type"] == "it's\na \\ comment"
 
 
-def test_values(spark):
+def test_values(spark, monkeypatch):
     rows = [(1, "a"), (1, "a"), (None, None), (2, None)]
     schema = "k int, t string"
     assert values_df(spark, rows, schema).count() == 3
@@ -153,8 +153,9 @@ def test_values(spark):
     empty = values_df(spark, [], schema, into="t_values")
     assert empty.count() == 0 and empty.columns == ["k", "t"]
     facts = spark.createDataFrame([(1,), (2,), (3,), (None,)], "k int")
-    for known in (4, None, 10**6):
-        kept = in_population(facts, values_df(spark, rows, schema), ["k"], known)
+    for small in (50_000, 0):
+        monkeypatch.setattr("careweft.sources.values.SMALL_ROWS", small)
+        kept = in_population(facts, values_df(spark, rows, schema), ["k"])
         assert sorted(r["k"] for r in kept.collect()) == [1, 2]
 
 
@@ -163,17 +164,17 @@ def test_code_tables(spark):
     assert len(sizes) == 13
     assert (sizes["state"], sizes["country"], sizes["name_suffix"]) == (60, 236, 12)
     country = dict(map(tuple, codes.provider_code_table(spark, "country").collect()))
-    # One name per rule: as it is, accents, ampersand, saint, set by hand.
     assert country["ZW"] == "ZIMBABWE" and country["RE"] == "REUNION"
     assert country["ST"] == "SAO TOME AND PRINCIPE" and country["LC"] == "SAINT LUCIA"
     assert country["VA"] == "HOLY SEE (VATICAN CITY STATE)" and "PR" not in country
 
 
-def test_decode_keeps_unknown(spark):
+def test_decode_keeps_unknown(spark, monkeypatch):
     df = spark.createDataFrame([("M",), ("Z",), (None,)], "g string")
     table = codes.provider_code_table(spark, "gender")
-    for rows in (2, 10**6):
-        out = codes.decode(df, "g", table, "gender_code", ["gender"], rows)
+    for small in (50_000, 0):
+        monkeypatch.setattr(codes, "SMALL_ROWS", small)
+        out = codes.decode(df, "g", table, "gender_code", ["gender"])
         assert {(r["g"], r["gender"]) for r in out.collect()} == {
             ("M", "Male"), ("Z", None), (None, None),
         }
