@@ -32,11 +32,12 @@ def frames(spark, sf_dir, names=TABLES):
 
 
 def _profile_sql(name: str, columns: list[tuple[str, str]], where: str = "") -> str:
-    """One select per column; kind is 'number', 'text' or 'other'."""
+    """One select per column; kind is 'whole', 'number', 'text' or 'other'."""
     parts = []
     source = f"(SELECT * FROM {name} {where})"
     for i, (c, kind) in enumerate(columns, 1):
-        number = kind == "number"
+        number = kind in ("number", "whole")
+        exact = [f"CAST({f}({c}) AS VARCHAR)" if kind == "whole" else "CAST(NULL AS VARCHAR)" for f in ("min", "max")]
         lo = f"CAST(min({c}) AS DOUBLE)" if number else "CAST(NULL AS DOUBLE)"
         hi = f"CAST(max({c}) AS DOUBLE)" if number else "CAST(NULL AS DOUBLE)"
         avg = f"round(avg(CAST({c} AS DOUBLE)), 4)" if number else "CAST(NULL AS DOUBLE)"
@@ -53,7 +54,8 @@ def _profile_sql(name: str, columns: list[tuple[str, str]], where: str = "") ->
             (SELECT min(n) FROM {groups}) AS anti_mode_frequency,
             min(length(CAST({c} AS VARCHAR))) AS min_length,
             max(length(CAST({c} AS VARCHAR))) AS max_length,
-            round(avg(length(CAST({c} AS VARCHAR))), 4) AS average_length
+            round(avg(length(CAST({c} AS VARCHAR))), 4) AS average_length,
+            {exact[0]} AS min_text, {exact[1]} AS max_text
             FROM {source}"""
         )
     return "\nUNION ALL\n".join(parts)
@@ -66,16 +68,16 @@ def _profiled(df):
 
 
 ORDER_COLUMNS = [
-    ("o_orderkey", "number"), ("o_custkey", "number"), ("o_orderstatus", "text"),
+    ("o_orderkey", "whole"), ("o_custkey", "whole"), ("o_orderstatus", "text"),
     ("o_totalprice", "number"), ("o_orderdate", "other"), ("o_orderpriority", "text"),
 ]
 CUSTOMER_COLUMNS = [
-    ("c_custkey", "number"), ("c_name", "text"), ("c_nationkey", "number"),
+    ("c_custkey", "whole"), ("c_name", "text"), ("c_nationkey", "whole"),
     ("c_acctbal", "number"), ("c_mktsegment", "text"),
 ]
 DOCUMENT_COLUMNS = [
-    ("doc_id", "number"), ("text", "text"), ("lang", "text"), ("source", "text"),
-    ("n_chars", "number"),
+    ("doc_id", "whole"), ("text", "text"), ("lang", "text"), ("source", "text"),
+    ("n_chars", "whole"),
 ]
 
 
@@ -115,6 +117,22 @@ def _search_sql(columns: list[tuple[str, str, str]], like: str) -> str:
     )
 
 
+LARGE_SQL = """WITH k AS (SELECT 9007199254740993 + o_orderkey AS k FROM orders)
+  SELECT 'large_key' AS column_name, CAST(min(k) AS VARCHAR) AS min_text, CAST(max(k) AS VARCHAR) AS max_text FROM k
+  UNION ALL
+  SELECT 'amount', CAST(CAST(min(12345678901234567890.12::DECIMAL(22,2) + (o_orderkey % 7)::DECIMAL(22,2)) AS DECIMAL(22,2)) AS VARCHAR),
+    CAST(CAST(max(12345678901234567890.12::DECIMAL(22,2) + (o_orderkey % 7)::DECIMAL(22,2)) AS DECIMAL(22,2)) AS VARCHAR) FROM orders"""
+
+
+@REGISTRY.add("profile_large_numbers", LARGE_SQL)
+def profile_large_numbers(spark, sf_dir):
+    """Keys above 2**53 and 22-digit amounts keep all their digits."""
+    orders = table(spark, sf_dir, "orders")
+    amount = F.expr("CAST(12345678901234567890.12BD + CAST(o_orderkey % 7 AS DECIMAL(22,2)) AS DECIMAL(22,2))")
+    large = orders.select((F.col("o_orderkey") + F.lit(9007199254740993)).alias("large_key"), amount.alias("amount"))
+    return profile_table(large).select("column_name", "min_text", "max_text")
+
+
 TEXT_COLUMNS = [
     ("region", "r_name", "string"), ("nation", "n_name", "string"),
     ("supplier", "s_name", "string"), ("customer", "c_name", "string"),

@@ -24,6 +24,22 @@ def value_text(name: str, kind: T.DataType) -> Column:
     return c.cast("string")
 
 
+def _scale(kind: T.DataType) -> int | None:
+    """Decimal places of whole and decimal numbers."""
+    if isinstance(kind, T.DecimalType):
+        return kind.scale
+    return 0 if isinstance(kind, T.IntegralType) else None
+
+
+def _with_point(unscaled: str, scale: str) -> Column:
+    """Text of a number from its digits and its decimal places."""
+    plain = F.abs(unscaled).cast("string")
+    digits = F.lpad(plain, F.greatest(F.length(plain), F.col(scale) + 1), "0")
+    whole = F.left(digits, F.length(digits) - F.col(scale))
+    rest = F.when(F.col(scale) > 0, F.concat(F.lit("."), F.right(digits, F.col(scale)))).otherwise("")
+    return F.concat(F.when(F.col(unscaled) < 0, "-").otherwise(""), whole, rest)
+
+
 def profile_table(df: DataFrame) -> DataFrame:
     """Counts, extremes, frequencies and lengths of every column, in one scan.
 
@@ -31,7 +47,9 @@ def profile_table(df: DataFrame) -> DataFrame:
     per column. Both steps combine map-side, so neither a frequent value nor a
     column gathers in one task. Long values travel as a 256-bit digest with
     their length. Null is a value for the frequencies and the unique count, not
-    for the distinct count. Minimum, maximum and average are for numbers only.
+    for the distinct count. Minimum, maximum and average are for numbers only, as
+    doubles; whole and decimal numbers also have their exact extremes as text,
+    compared by their digits.
     """
     fields = df.schema.fields
     pairs = [
@@ -57,6 +75,8 @@ def profile_table(df: DataFrame) -> DataFrame:
         )
     )
     n, value, length, number = (F.col(c) for c in ("n", "value", "length", "number"))
+    exact = [i for i, f in enumerate(fields, 1) if _scale(f.dataType) is not None]
+    unscaled = F.when(F.col("ordinal").isin(exact), F.replace("value", F.lit("."), F.lit("")).try_cast("decimal(38,0)"))
     is_empty = value.isNull() | (F.col("ordinal").isin(texts) & (value == ""))
     stats = values.groupBy("ordinal").agg(
         F.sum(n).alias("total_count"),
@@ -66,6 +86,8 @@ def profile_table(df: DataFrame) -> DataFrame:
         F.sum(F.when(is_empty, n).otherwise(0)).alias("empty_count"),
         F.min(number).alias("min_value"),
         F.max(number).alias("max_value"),
+        F.min(unscaled).alias("lowest"),
+        F.max(unscaled).alias("highest"),
         (F.sum(number * n) / F.sum(F.when(number.isNotNull(), n))).alias("average"),
         F.max(n).alias("mode_frequency"),
         F.min(n).alias("anti_mode_frequency"),
@@ -74,8 +96,8 @@ def profile_table(df: DataFrame) -> DataFrame:
         (F.sum(length * n) / F.sum(F.when(length.isNotNull(), n))).alias("average_length"),
     )
     names = df.sparkSession.createDataFrame(
-        [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields, 1)],
-        "ordinal_position int, column_name string, data_type string",
+        [(i, f.name, f.dataType.simpleString(), _scale(f.dataType)) for i, f in enumerate(fields, 1)],
+        "ordinal_position int, column_name string, data_type string, scale int",
     )
     # `stats` has at most one row per column.
     joined = names.join(F.broadcast(stats), F.col("ordinal_position") == F.col("ordinal"), "left")
@@ -85,5 +107,7 @@ def profile_table(df: DataFrame) -> DataFrame:
         "ordinal_position",
         "data_type",
         *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts],
-        *[c for c in stats.columns if c not in counts and c != "ordinal"],
+        *[c for c in stats.columns if c not in [*counts, "ordinal", "lowest", "highest"]],
+        _with_point("lowest", "scale").alias("min_text"),
+        _with_point("highest", "scale").alias("max_text"),
     )
