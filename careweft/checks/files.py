@@ -320,10 +320,10 @@ def values_into_table(spark, sf_dir):
       FROM pages)
     SELECT page_id, href, regexp_extract(url, '^[a-z]+://[^/?#]*') || href AS link,
            split_part(href, '/', -1) AS file_name
-    FROM found WHERE regexp_matches(href, '^/[a-zéèêçß]')""",
+    FROM found""",
 )
 def html_anchor_links(spark, sf_dir):
-    found = extract_links(table(spark, sf_dir, "pages"), match="href", pattern="^/[a-zéèêçß]")
+    found = extract_links(table(spark, sf_dir, "pages"), match="href")
     return found.select("page_id", "href", "link", "file_name")
 
 

@@ -7,15 +7,26 @@ from pyspark.sql import functions as F
 
 from careweft.functions.predicates import as_column
 
-# An anchor tag with its attributes, and one attribute's value.
-ANCHOR = r"(?is)<a\s+([^>]*)>"
-ATTRIBUTE = r"""(?is)(?:^|\s){name}\s*=\s*["']?([^"'\s>]*)["']?"""
+# Parts of a page whose text is not markup.
+HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+# An anchor tag; quoted values may hold any character.
+ANCHOR = r"""(?is)<a\s((?:[^>"']|"[^"]*"|'[^']*')*+)>"""
+# Other attributes with their values, then the one asked for: names inside a value do not count.
+ATTRIBUTE = (
+    r"""(?is)^\s*(?:(?!{name}[\s=])[^\s=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"']+))?\s*)*+"""
+    r"""{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']*))"""
+)
+# Character references in links; that of the ampersand comes last.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
 
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute inside the text of a tag, null when absent."""
     pattern = ATTRIBUTE.format(name=name)
-    return F.when(tag.rlike(pattern), F.regexp_extract(tag, pattern, 1))
+    value = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+    for reference, character in REFERENCES.items():
+        value = F.replace(value, F.lit(reference), F.lit(character))
+    return F.when(tag.rlike(pattern), value)
 
 
 def resolve_link(page: Column | str, link: Column | str) -> Column:
@@ -79,7 +90,7 @@ def extract_links(
     tags = pages.select(
         *keep,
         F.col(url).alias("_page"),
-        F.posexplode(F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(1))).alias(
+        F.posexplode(F.regexp_extract_all(F.regexp_replace(html, HIDDEN, " "), F.lit(ANCHOR), F.lit(1))).alias(
             "_pos", "_tag"
         ),
     )

@@ -225,3 +225,12 @@ def test_inventory(spark):
     assert rows == {"a": (1, "c1"), "b": (None, None), None: (None, None)}
     both = listing.combine_inventories([tidy, tidy.select("name").withColumn("extra", F.lit(1))])
     assert both.count() == 4 and "extra" in both.columns
+
+
+def test_links_are_read_as_markup(spark):
+    page = """<!-- <a href="/no">x</a> --><script>"<a href='/no2'>"</script><a href="my file.zip">1</a>
+      <a href="x?a=1&amp;b=2">2</a><a title="see href=bad > x" href='good'>3</a><a disabled href = /bare class=c>4</a>
+      <a data-href="/other">5</a><abbr href="/no3">6</abbr><A HREF="it's">7</A>"""
+    df = spark.createDataFrame([("http://h.org/a/b", page)], "url string, html string")
+    found = [r["href"] for r in extract_links(df).orderBy("anchor_no").collect()]
+    assert found == ["my file.zip", "x?a=1&b=2", "good", "/bare", "it's"]
