@@ -191,8 +191,7 @@ def value_search_all_texts(spark, sf_dir):
 
 @REGISTRY.add("value_search_nested")
 def value_search_nested(spark, sf_dir):
-    tables = frames(spark, sf_dir, ["embeddings", "nation"])
-    found = search_values(tables, "0.12", table_like="emb%", nested=True)
+    found = search_values(frames(spark, sf_dir, ["embeddings"]), "0.12", nested=True)
     return found.groupBy("table_name", "column_name", "column_type").agg(
         F.sum("row_count").alias("row_count")
     )
@@ -253,6 +252,40 @@ def value_search_full_rows(spark, sf_dir):
 COUNTS_SQL = "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES
 )
+PLACED_SQL = "WITH hits AS ({search}) SELECT table_name, column_name, column_value, row_count, row_number() OVER (ORDER BY {order}) AS place FROM hits"
+
+
+def _placed(found):
+    """Rows with their place in the order they come in; at most a few hundred."""
+    rows = found.select("table_name", "column_name", "column_value", "row_count").collect()
+    schema = "table_name string, column_name string, column_value string, row_count long, place long"
+    return found.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rows, 1)], schema)
+
+
+@REGISTRY.add(
+    "value_search_by_count",
+    PLACED_SQL.format(
+        search=_search_sql([c for c in TEXT_COLUMNS if c[0] in ("region", "nation", "orders", "lineitem")], "%r%"),
+        order="row_count DESC, table_name, column_name, column_value",
+    ),
+)
+def value_search_by_count(spark, sf_dir):
+    tables = frames(spark, sf_dir, ["region", "nation", "orders", "lineitem"])
+    return _placed(search_values(tables, "R", order="count"))
+
+
+@REGISTRY.add(
+    "value_search_by_name",
+    PLACED_SQL.format(
+        search=_search_sql([c for c in TEXT_COLUMNS if c[0] in ("region", "nation", "orders", "lineitem")], "%r%"),
+        order="table_name, column_name, column_value",
+    ),
+)
+def value_search_by_name(spark, sf_dir):
+    tables = frames(spark, sf_dir, ["region", "nation", "orders", "lineitem"])
+    return _placed(search_values(tables, "R", order="name"))
+
+
 SHORT_HIT = ["qualified_name", "schema_name", "table_name", "column_name", "row_count"]
 
 
@@ -348,7 +381,7 @@ def catalog_session_search(spark, sf_dir):
     """SELECT '`' || lang || '`.`' || 'doc_' || doc_id || '`' AS qualified_name,
               lang AS schema_name, 'doc_' || doc_id AS module_name, length(text) AS size
        FROM documents
-       WHERE lower('doc_' || doc_id) LIKE '%copyright%' OR lower(text) LIKE '%copyright%'""",
+       WHERE lower('doc_' || doc_id) LIKE '%licensed under%' OR lower(text) LIKE '%licensed under%'""",
 )
 def definition_search(spark, sf_dir):
     modules = table(spark, sf_dir, "documents").select(
@@ -357,7 +390,7 @@ def definition_search(spark, sf_dir):
         F.lit("TEXT").alias("module_type"),
         F.col("text").alias("module_definition"),
     )
-    found = catalog_search(Inventory(modules=modules), "Copyright", ["modules"])
+    found = catalog_search(Inventory(modules=modules), "Licensed Under", ["modules"])
     return found.select(
         "qualified_name",
         "schema_name",

@@ -47,7 +47,7 @@ def contains_text(column: Column | str, text: str) -> Column:
     """Case-insensitive `%text%`, where `text` may hold LIKE wildcards."""
     c, text = F.lower(as_column(column)), text.lower()
     if "[" in text:
-        return c.rlike(f"(?s)^.*{like_regex(text)}.*$")
+        return c.rlike(f"(?s){like_regex(text)}")
     if "%" in text or "_" in text:
         escaped = text.replace("\\", "\\\\")
         return c.like(f"%{escaped}%")
