@@ -45,7 +45,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("op2_chat_format", sql.CHAT)
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
-    conflicting = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    conflicting = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, F.lit(said).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(conflicting)
     return chat.digests(chat.format_conversations(rows))
 
