@@ -8,9 +8,11 @@ concentrated as for independent ones.
 
 Texts with equal shingle sets form a class; everything below is about classes, so exact
 copies cost one row each. Classes that share a band of `ROWS` coordinates are candidates. In a bucket each class
-meets one centre, not all others; confirmed links give components. Then, in every bucket that still
-holds several components, each class meets a centre of another component, chosen
-anew in each round; what `ROUNDS` leave open meets all classes of other components in its bucket.
+meets one centre, not all others; confirmed links give components. In buckets that still
+hold several components, classes go that cannot be similar enough to any other, because too few of
+their shingles occur in another open class. Then each class meets a centre of another
+component, chosen anew in each round; of what `ROUNDS` leave open, classes of different
+components in a bucket meet where their counts of shared shingles allow a link.
 A link inside a component changes nothing, so none that matters is lost. Links are
 confirmed on the full shingle sets (64-bit hashes of shingles); a class that many others meet is
 copied to several tasks.
@@ -162,7 +164,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b")))
@@ -178,15 +180,57 @@ def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
     return joined.withColumn("component", F.coalesce("component", "class"))
 
 
-def _another(order: Column) -> list[Column]:
-    """The class first in `order` of the bucket, and the first of the largest and the least component."""
-    pick = F.struct(order.alias("o"), F.col("class").alias("class"), F.col("component").alias("component"))
-    return [
-        F.min(F.struct(F.col("component").alias("c"), pick.alias("p")))["p"].alias("low"),
-        F.max(F.struct(F.col("component").alias("c"), pick.alias("p")))["p"].alias("high"),
-        F.min("component").alias("first"),
-        F.max("component").alias("last"),
-    ]
+def _heads(members: DataFrame, order: Column) -> DataFrame:
+    """Per bucket that holds several components: the class first in `order` of its least and of
+    its greatest component."""
+    pick = F.struct(order.alias("o"), F.col("class").alias("class"))
+    first = F.struct(F.col("component").alias("c"), pick.alias("p"))
+    last = F.struct(F.col("component").alias("c"), pick.alias("p"))
+    ends = members.groupBy("band").agg(F.min(first).alias("low"), F.max(last).alias("high"))
+    return ends.filter("low.c <> high.c").select("band", F.col("low.c").alias("first"), F.col("low.p.class").alias("low"), F.col("high.p.class").alias("high"))
+
+
+def shared_sizes(texts: DataFrame) -> DataFrame:
+    """(class, size, shared): how many shingles a class has, and how many of them any other
+    class of `texts` has too. Shingles pass their task in order, one by one."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for name, packed in zip(batch.column("name").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                items = shingles(expand(packed))
+                yield pa.RecordBatch.from_arrays([pa.array(items.view("i8")), pa.array(np.full(len(items), name))], names=["shingle", "name"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A shingle met once so far waits with its class; one met twice is remembered.
+        wait_h, wait_n, often = np.zeros(0, "i8"), np.zeros(0, "i8"), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = np.concatenate([wait_h, batch.column("shingle").to_numpy()])
+            n = np.concatenate([wait_n, batch.column("name").to_numpy()])
+            same = h[1:] == h[:-1]
+            twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            if often is not None:
+                twice |= h == often
+            alone = not twice[-1]
+            wait_h, wait_n = (h[-1:], n[-1:]) if alone else (h[:0], n[:0])
+            often = None if alone else h[-1]
+            names, counts = np.unique(n[twice], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts)], names=["name", "shared"])
+
+    name = F.xxhash64("class").alias("name")
+    pairs = texts.select(name, "packed").mapInArrow(emit, "shingle long, name long")
+    dealt = pairs.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(count, "name long, shared long")
+    sums = dealt.groupBy("name").agg(F.sum("shared").alias("shared"))
+    sized = texts.select("class", "size", name).join(sums, "name", "left")
+    return sized.select("class", "size", F.coalesce("shared", F.lit(0)).alias("shared"))
+
+
+def _possible(shared: Column, size: Column, other: Column, per_cent: int) -> Column:
+    """Whether a set can be similar enough to one of size `other`, if it has no more than `shared` in
+    common with any."""
+    return 100 * shared >= per_cent * (size + F.greatest(other, shared) - shared)
 
 
 def _texts(rows: DataFrame, needed: DataFrame) -> DataFrame:
@@ -195,7 +239,8 @@ def _texts(rows: DataFrame, needed: DataFrame) -> DataFrame:
     key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key")
     chosen = rows.filter("class is not null").select("class", key).groupBy("class").agg(F.min("key").alias("key"))
     chosen = chosen.join(needed.select("class").distinct(), "class", "left_semi")
-    return rows.select("class", key, "packed").join(chosen, ["class", "key"]).dropDuplicates(["class", "key"]).select("class", "packed")
+    found = rows.select("class", key, F.col("n_shingles").alias("size"), "packed").join(chosen, ["class", "key"])
+    return found.dropDuplicates(["class", "key"]).select("class", "size", "packed")
 
 
 def near_groups(docs: DataFrame, per_cent: int) -> DataFrame:
@@ -208,32 +253,53 @@ def near_groups(docs: DataFrame, per_cent: int) -> DataFrame:
     shared = cut_lineage(banded.join(sizes, "band"))
     texts = cut_lineage(_texts(rows, shared))
     tried = cut_lineage(shared.filter("class <> centre").select("class", "centre").distinct())
-    linked, found = [cut_lineage(confirmed(tried, texts, per_cent))], None
+    linked = [cut_lineage(confirmed(tried, texts, per_cent))]
 
+    def joined() -> DataFrame:
+        return components(reduce(DataFrame.unionByName, linked).select(F.col("class").alias("a"), F.col("centre").alias("b")))
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        ordered = [F.least("class", "centre").alias("class"), F.greatest("class", "centre").alias("centre")]
+        past = tried.select(*ordered)
+        return cut_lineage(pairs.select(*ordered).distinct().join(past, ["class", "centre"], "left_anti"))
+
+    found, bounds = joined(), None
     for turn in range(ROUNDS + 1):
-        links = reduce(DataFrame.unionByName, linked).select(F.col("class").alias("a"), F.col("centre").alias("b"))
-        found = components(links)
         members = _with_component(shared.select("class", "band"), found)
-        if turn == ROUNDS:
-            mine = members.select("band", "class", "component")
-            theirs = members.select("band", F.col("class").alias("centre"), F.col("component").alias("other"))
-            pairs = mine.join(theirs, "band").filter("class < centre and component <> other")
-        else:
-            heads = members.groupBy("band").agg(*_another(F.xxhash64("class", F.lit(turn)))).filter("first <> last")
-            other = F.when(F.col("component") == F.col("first"), F.col("high")).otherwise(F.col("low"))
-            pairs = members.join(heads, "band").select("class", other["class"].alias("centre"))
-        pairs = pairs.select(F.least("class", "centre").alias("class"), F.greatest("class", "centre").alias("centre")).distinct()
-        past = tried.select(F.least("class", "centre").alias("class"), F.greatest("class", "centre").alias("centre"))
-        fresh = cut_lineage(pairs.join(past, ["class", "centre"], "left_anti"))
-        if fresh.isEmpty():
-            if turn == ROUNDS:
+        heads = _heads(members, F.xxhash64("class", F.lit(turn)))
+        # Only buckets that still hold several components are looked at again.
+        open_ = cut_lineage(members.join(heads, "band"))
+        if open_.isEmpty():
+            break
+        if bounds is None:
+            # Shingles that no other open class has are in no intersection: most classes that are
+            # near a group but linked with nothing in it fall out here, without a pair.
+            bounds = cut_lineage(shared_sizes(texts.join(open_.select("class").distinct(), "class", "left_semi")))
+            sized = open_.select("class", "band").join(bounds, "class")
+            least = sized.groupBy("band").agg(F.min("size").alias("least"))
+            other = F.greatest("least", F.floor((F.col("size") * per_cent + 99) / 100))
+            sized = sized.join(least, "band").filter(_possible(F.col("shared"), F.col("size"), other, per_cent))
+            shared = cut_lineage(sized.select("class", "band"))
+            members = _with_component(shared, found)
+            open_ = cut_lineage(members.join(_heads(members, F.xxhash64("class", F.lit(turn))), "band"))
+            if open_.isEmpty():
                 break
-            continue
-        tried = cut_lineage(tried.unionByName(fresh))
-        linked.append(cut_lineage(confirmed(fresh, texts, per_cent)))
-        if turn == ROUNDS:
-            links = reduce(DataFrame.unionByName, linked).select(F.col("class").alias("a"), F.col("centre").alias("b"))
-            found = components(links)
+        shared = open_.select("class", "band")
+        if turn < ROUNDS:
+            other = F.when(F.col("component") == F.col("first"), F.col("high")).otherwise(F.col("low"))
+            fresh = untried(open_.select("class", other.alias("centre")))
+        else:
+            mine = open_.select("band", "class", "component").join(bounds, "class")
+            theirs = mine.toDF("centre", "band", "other", "other_size", "other_shared")
+            common = F.least("shared", "other_shared")
+            fits = 100 * common >= per_cent * (F.col("size") + F.col("other_size") - common)
+            both = mine.join(theirs, "band").filter((F.col("class") < F.col("centre")) & (F.col("component") != F.col("other")) & fits)
+            fresh = untried(both.select("class", "centre"))
+        if not fresh.isEmpty():
+            tried = cut_lineage(tried.unionByName(fresh))
+            linked.append(cut_lineage(confirmed(fresh, texts, per_cent)))
+            if not linked[-1].isEmpty():
+                found = joined()
 
     key = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     least = rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.min(F.struct(key, "row")).alias("first"))

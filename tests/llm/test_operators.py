@@ -278,6 +278,7 @@ def test_suffix_equals_brute_force(docs, none):
 
 def test_suffix_hot_groups(spark, monkeypatch):
     monkeypatch.setattr(suffix, "GROUP_ROWS", 20)
+    monkeypatch.setattr(suffix, "BATCH_ROWS", 10)
     rng = random.Random(9)
     line = sentence(rng, 30)
     texts = [sentence(rng, 30, 9) + line + sentence(rng, 30, 9) for _ in range(120)] + ["ab" * 250, "abab" * 60 + "c" + "ab" * 120]
@@ -308,6 +309,28 @@ def test_near_chains(spark):
     same(near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), brute.near_components(rows))
 
 
+def test_near_copies_of_one_text(spark):
+    """A large group of copies with a few edits each: many are close to links, few pairs are tried."""
+    rng = random.Random(11)
+    base = sentence(rng, 150, 5000).split()
+    texts = []
+    for i in range(150):
+        copy = list(base)
+        for k in range(rng.randrange(6)):
+            copy[rng.randrange(150)] = f"e{i}_{k}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    same(near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), brute.near_components(rows))
+
+
+def test_shared_sizes(spark):
+    sets = {"a": "1 2 3 4 5 6 7", "b": "0 2 3 4 5 6 7", "c": "x y z u v w"}
+    squeeze = near.zstandard.ZstdCompressor().compress
+    rows = [(k.encode(), len(near.shingles(t.encode())), squeeze(t.encode())) for k, t in sets.items()]
+    texts = spark.createDataFrame(rows, "class binary, size long, packed binary")
+    assert {bytes(r["class"]): r.shared for r in near.shared_sizes(texts).collect()} == {b"a": 2, b"b": 2, b"c": 0}
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(2)
     items = rng.integers(0, 1 << 63, 1000, dtype="u8")
