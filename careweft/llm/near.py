@@ -181,13 +181,11 @@ def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _heads(members: DataFrame, order: Column) -> DataFrame:
-    """Per bucket that holds several components: the class first in `order` of its least and of
-    its greatest component."""
-    pick = F.struct(order.alias("o"), F.col("class").alias("class"))
-    first = F.struct(F.col("component").alias("c"), pick.alias("p"))
-    last = F.struct(F.col("component").alias("c"), pick.alias("p"))
-    ends = members.groupBy("band").agg(F.min(first).alias("low"), F.max(last).alias("high"))
-    return ends.filter("low.c <> high.c").select("band", F.col("low.c").alias("first"), F.col("low.p.class").alias("low"), F.col("high.p.class").alias("high"))
+    """Per bucket that holds several components: the class first in `order`, with its component."""
+    pick = F.min(F.struct(order.alias("o"), F.col("class").alias("class"), F.col("component").alias("component"))).alias("head")
+    several = F.min("component") != F.max("component")
+    heads = members.groupBy("band").agg(pick, several.alias("several")).filter("several")
+    return heads.select("band", F.col("head.class").alias("centre"), F.col("head.component").alias("own"))
 
 
 def shared_sizes(texts: DataFrame) -> DataFrame:
@@ -264,9 +262,12 @@ def near_groups(docs: DataFrame, per_cent: int) -> DataFrame:
         return cut_lineage(pairs.select(*ordered).distinct().join(past, ["class", "centre"], "left_anti"))
 
     found, bounds = joined(), None
+    shared = shared.select("class", "band")
     for turn in range(ROUNDS + 1):
-        members = _with_component(shared.select("class", "band"), found)
-        heads = _heads(members, F.xxhash64("class", F.lit(turn)))
+        members = _with_component(shared, found)
+        # The class with the fewest shingles of its own is the likeliest link to the others.
+        order = F.xxhash64("class", F.lit(turn)) if bounds is None or turn % 2 else F.struct(F.col("size") - F.col("shared"), F.xxhash64("class", F.lit(turn)))
+        heads = _heads(members, order)
         # Only buckets that still hold several components are looked at again.
         open_ = cut_lineage(members.join(heads, "band"))
         if open_.isEmpty():
@@ -279,17 +280,17 @@ def near_groups(docs: DataFrame, per_cent: int) -> DataFrame:
             least = sized.groupBy("band").agg(F.min("size").alias("least"))
             other = F.greatest("least", F.floor((F.col("size") * per_cent + 99) / 100))
             sized = sized.join(least, "band").filter(_possible(F.col("shared"), F.col("size"), other, per_cent))
-            shared = cut_lineage(sized.select("class", "band"))
+            shared = cut_lineage(sized.select("class", "band", "size", "shared"))
             members = _with_component(shared, found)
-            open_ = cut_lineage(members.join(_heads(members, F.xxhash64("class", F.lit(turn))), "band"))
+            order = F.struct(F.col("size") - F.col("shared"), F.xxhash64("class"))
+            open_ = cut_lineage(members.join(_heads(members, order), "band"))
             if open_.isEmpty():
                 break
-        shared = open_.select("class", "band")
+        shared = open_.select("class", "band", "size", "shared")
         if turn < ROUNDS:
-            other = F.when(F.col("component") == F.col("first"), F.col("high")).otherwise(F.col("low"))
-            fresh = untried(open_.select("class", other.alias("centre")))
+            fresh = untried(open_.filter("component <> own").select("class", "centre"))
         else:
-            mine = open_.select("band", "class", "component").join(bounds, "class")
+            mine = open_.select("class", "band", "component", "size", "shared")
             theirs = mine.toDF("centre", "band", "other", "other_size", "other_shared")
             common = F.least("shared", "other_shared")
             fits = 100 * common >= per_cent * (F.col("size") + F.col("other_size") - common)
