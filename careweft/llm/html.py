@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block element, each with the innermost
-enclosing container; what stands in boilerplate elements or in containers named like
-boilerplate gives no lines. Text lengths are summed over sliding windows of lines. The surge is where the
-sums first rise in the container that holds most of the text around the peak, the dive where that
-container ends: all lines between them are the text. On pages with article or main elements only
-their lines are looked at. Lines inside are never dropped for being short.
+enclosing containers; what stands in boilerplate elements or in containers named like
+boilerplate gives no lines. Text lengths are summed over sliding windows of lines: of all lines, or
+of those in article and main elements where a page has any. Surge and dive start as the ends of
+the innermost container of the peak that holds half of the text. All
+lines between them are the text. Last, article and main elements are a check on both ends: an
+end inside one is moved to its end. Lines inside are never dropped for being short.
 
 A page is handled on its own, in one pass over its characters; nothing is shuffled.
 
@@ -51,7 +52,7 @@ HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s/=]|$)|aria-hidden\s*=\s*["']?tru
 class Line(NamedTuple):
     text: str
     path: tuple[int, ...]  # numbers of the enclosing containers, outermost first
-    in_body: bool
+    body: int  # number of the outermost article or main element, or 0
 
 
 def is_boilerplate(name: str, attributes: str) -> bool:
@@ -75,20 +76,19 @@ def lines_of(page: str) -> list[Line]:
     lines: list[Line] = []
     held: list[str] = []
     open_elements: list[tuple[str, int, bool]] = []  # name, container number or 0, boilerplate
-    number = dropped = bodies = at = 0
+    number = dropped = at = 0
 
     def close_line() -> None:
         text = " ".join(references.unescape("".join(held)).split())
         held.clear()
         if text:
-            lines.append(Line(text, tuple(n for _, n, _ in open_elements if n), bodies > 0))
+            body = next((n for name, n, _ in open_elements if name in BODIES), 0)
+            lines.append(Line(text, tuple(n for _, n, _ in open_elements if n), body))
 
     def pop(until: int) -> None:
-        nonlocal dropped, bodies
+        nonlocal dropped
         while len(open_elements) > until:
-            name, _, boilerplate = open_elements.pop()
-            dropped -= boilerplate
-            bodies -= name in BODIES
+            dropped -= open_elements.pop()[2]
 
     while True:
         tag = TAG.search(page, at)
@@ -110,8 +110,8 @@ def lines_of(page: str) -> list[Line]:
                 pop(place)
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            at = close.end() if close else len(page)
             continue
         if name in VOID or tag[3].endswith("/"):
             continue
@@ -124,28 +124,40 @@ def lines_of(page: str) -> list[Line]:
         number += 1
         open_elements.append((name, number if name in CONTAINERS else 0, boilerplate))
         dropped += boilerplate
-        bodies += name in BODIES
     close_line()
     return lines
 
 
+def window_sums(sizes: list[int]) -> list[int]:
+    return [sum(sizes[max(0, i - WINDOW + 1) : i + WINDOW]) for i in range(len(sizes))]
+
+
+def text_ends(lines: list[Line]) -> tuple[int, int]:
+    """Surge and dive: the text is lines[surge:dive]."""
+    sizes = [len(line.text) for line in lines]
+    sums = window_sums(sizes)
+    peak = max(range(len(sums)), key=sums.__getitem__)
+    path = (0, *lines[peak].path)  # 0 is the page
+    spans = {0: (0, len(lines))}
+    for i, line in enumerate(lines):
+        for container in line.path:
+            spans[container] = (spans.get(container, (i, i))[0], i + 1)
+    level = next(n for n in range(len(path) - 1, -1, -1) if 2 * sum(sizes[slice(*spans[path[n]])]) >= sum(sizes))
+    surge, dive = spans[path[level]]
+    return surge, dive
+
+
 def main_text(page: str) -> str:
     lines = lines_of(page)
-    if any(line.in_body for line in lines):
-        return "\n\n".join(line.text for line in lines if line.in_body)
+    lines = [line for line in lines if line.body] or lines
     if not lines:
         return ""
-    sizes = [len(line.text) for line in lines]
-    sums = [sum(sizes[max(0, i - WINDOW + 1) : i + WINDOW]) for i in range(len(sizes))]
-    peak = max(range(len(sums)), key=sums.__getitem__)
-    # The surge and the dive: ends of the innermost container of the peak that holds at
-    # least half of the text; on flat pages the page itself.
-    surge, dive = 0, len(lines)
-    for container in reversed(lines[peak].path):
-        inside = [i for i, line in enumerate(lines) if container in line.path]
-        if 2 * sum(sizes[i] for i in inside) >= sum(sizes):
-            surge, dive = inside[0], inside[-1] + 1
-            break
+    surge, dive = text_ends(lines)
+    # The check on both ends: no article or main element is cut.
+    while surge and lines[surge].body and lines[surge - 1].body == lines[surge].body:
+        surge -= 1
+    while dive < len(lines) and lines[dive].body and lines[dive - 1].body == lines[dive].body:
+        dive += 1
     return "\n\n".join(line.text for line in lines[surge:dive])
 
 

@@ -269,6 +269,19 @@ def test_html_cases(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_windows_run_inside_bodies():
+    text = "word " * 40
+    page = f"<body><article><h1>Head</h1><p>{text}<p>{text}<p>End.</article><article>more</article><div>about</div></body>"
+    lines = html.lines_of(page)
+    inside = [line for line in lines if line.body]
+    assert len(inside) == 5 and html.text_ends(inside) == (0, 4)
+    assert html.main_text(page) == f"Head\n\n{text.strip()}\n\n{text.strip()}\n\nEnd."
+    # The check: a part of the article that does not surge is not cut off.
+    parts = f"<article><section><p>{text}<p>{text}</section><section>End.</section></article><div>about</div>"
+    assert html.text_ends(html.lines_of(parts)) == (0, 2)
+    assert html.main_text(parts) == f"{text.strip()}\n\n{text.strip()}\n\nEnd."
+
+
 def test_suffix_equals_brute_force(docs, none):
     got = suffix.repeat_digests(docs)
     same(got, brute.repeated_spans(pairs(docs)))
