@@ -4,10 +4,14 @@ Markup is stripped into lines, one per block element, each with the innermost
 enclosing containers; what stands in boilerplate elements or in containers named like
 boilerplate gives no lines. Text lengths are summed over sliding windows of lines: of all lines, or
 of those in article and main elements where a page has any. Surge and dive start as the ends of
-the innermost container of the peak that holds half of the text. All
+the innermost container of the peak that holds half of the text. They are moved out while containers or lines
+beside it still surge: their own windows reach a `SURGING`th of a mean line at the peak. All
 lines between them are the text. Last, article and main elements are a check on both ends: an
 end inside one is moved to its end. Lines inside are never dropped for being short.
 
+Elements whose end tag may be left out end where HTML says: p at the next block, li, dd, dt and the parts of
+tables at the next of their kind, head at the first element that cannot stand in it.
+
 A page is handled on its own, in one pass over its characters; nothing is shuffled.
 
 Rows: null html counts as empty; a page without text gives an empty text; repeated rows and
@@ -19,6 +23,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -26,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
+SURGING = 4
 
 # Element and class names.
 DROPPED = set("nav header footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu head title".split())
@@ -44,6 +50,25 @@ NAMED = set(
 )
 # An article may well be a post with a header class, but not the text if it is one of these.
 BODY_NAMED = set("ad ads advert comment comments promo related replies sidebar sponsored".split())
+# Start tags that end an open element whose end tag may be left out, and the elements not looked past.
+TABLE = {"table"}
+ENDS_P = set(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre "
+    "search section summary table ul".split()
+)
+LISTED = BLOCKS - {"address", "div", "p", "li", "dd", "dt"}
+ENDS = {
+    "li": ({"li"}, LISTED | {"dd", "dt"}),
+    **dict.fromkeys(["dd", "dt"], ({"dd", "dt"}, LISTED | {"li"})),
+    **dict.fromkeys(["td", "th"], ({"td", "th", "caption"}, TABLE)),
+    "tr": ({"tr", "td", "th", "caption"}, TABLE),
+    **dict.fromkeys(["tbody", "thead", "tfoot"], ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, TABLE)),
+}
+CELLS = TABLE | {"td", "th", "caption"}
+# How far an end tag reaches out.
+REACH = {"p": CELLS, "li": {"ul", "ol", "menu"} | CELLS, **dict.fromkeys(["dd", "dt"], {"dl"} | CELLS), **dict.fromkeys(["td", "th", "tr", "tbody", "thead", "tfoot", "caption"], TABLE)}
+KEPT_OPEN = CONTAINERS | set(REACH) | TABLE | {"ul", "ol", "dl"}
+IN_HEAD = set("title meta link script style base noscript template".split())
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s/=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
@@ -90,6 +115,17 @@ def lines_of(page: str) -> list[Line]:
         while len(open_elements) > until:
             dropped -= open_elements.pop()[2]
 
+    def end(names: set[str], stops: set[str]) -> None:
+        """Ends the outermost open element of `names` inside the first of `stops`."""
+        place = None
+        for i in range(len(open_elements) - 1, -1, -1):
+            if open_elements[i][0] in names:
+                place = i
+            elif open_elements[i][0] in stops:
+                break
+        if place is not None:
+            pop(place)
+
     while True:
         tag = TAG.search(page, at)
         if not dropped:
@@ -105,10 +141,18 @@ def lines_of(page: str) -> list[Line]:
         if name in BLOCKS:
             close_line()
         if tag[1]:
-            place = next((i for i in range(len(open_elements) - 1, -1, -1) if open_elements[i][0] == name), None)
-            if place is not None:
+            stops = REACH.get(name, set()) - {name}
+            inner = (i for i in range(len(open_elements) - 1, -1, -1) if open_elements[i][0] == name or open_elements[i][0] in stops)
+            place = next(inner, None)
+            if place is not None and open_elements[place][0] == name:
                 pop(place)
             continue
+        if open_elements and open_elements[-1][0] == "head" and name not in IN_HEAD:
+            pop(len(open_elements) - 1)
+        if name in ENDS:
+            end(*ENDS[name])
+        if name in ENDS_P:
+            end({"p"}, CELLS)
         if name in RAW:
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else len(page)
@@ -119,7 +163,7 @@ def lines_of(page: str) -> list[Line]:
             # A boilerplate element that was never closed, or a form around the page.
             pop(next(i for i, e in enumerate(open_elements) if e[2]))
         boilerplate = is_boilerplate(name, tag[3])
-        if not (boilerplate or name in CONTAINERS):
+        if not (boilerplate or name in KEPT_OPEN):
             continue
         number += 1
         open_elements.append((name, number if name in CONTAINERS else 0, boilerplate))
@@ -137,6 +181,8 @@ def text_ends(lines: list[Line]) -> tuple[int, int]:
     sizes = [len(line.text) for line in lines]
     sums = window_sums(sizes)
     peak = max(range(len(sums)), key=sums.__getitem__)
+    around = sizes[max(0, peak - WINDOW + 1) : peak + WINDOW]
+    least = sum(around) / len(around) / SURGING
     path = (0, *lines[peak].path)  # 0 is the page
     spans = {0: (0, len(lines))}
     for i, line in enumerate(lines):
@@ -144,6 +190,16 @@ def text_ends(lines: list[Line]) -> tuple[int, int]:
             spans[container] = (spans.get(container, (i, i))[0], i + 1)
     level = next(n for n in range(len(path) - 1, -1, -1) if 2 * sum(sizes[slice(*spans[path[n]])]) >= sum(sizes))
     surge, dive = spans[path[level]]
+    for depth in range(level - 1, -1, -1):
+        start, end = spans[path[depth]]
+
+        def surging(places: range, depth: int = depth) -> list[int]:
+            """Those of `places` whose container, or run of lines of none, below this level surges."""
+            groups = [list(g) for _, g in groupby(places, lambda i: lines[i].path[depth] if len(lines[i].path) > depth else 0)]
+            return [i for group in groups if max(window_sums([sizes[i] for i in group])) >= least for i in group]
+
+        surge = min([surge, *surging(range(start, surge))])
+        dive = max([dive, *(i + 1 for i in surging(range(dive, end)))])
     return surge, dive
 
 

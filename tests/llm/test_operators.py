@@ -282,6 +282,19 @@ def test_html_windows_run_inside_bodies():
     assert html.main_text(parts) == f"{text.strip()}\n\n{text.strip()}\n\nEnd."
 
 
+def test_html_neighbours_and_optional_end_tags():
+    first, second = "a" * 600, "b" * 400
+    assert html.main_text(f"<body><div>Home</div><div id=content><div>{first}</div><div>{second}</div></div><div>about</div>") == f"{first}\n\n{second}"
+    assert html.main_text(f"<div><div>{second}</div>cut<div>{first}</div></div>") == f"{second}\n\ncut\n\n{first}"
+    assert html.main_text("<article><p class=ad>Buy<p>Text<p>more</article>") == "Text\n\nmore"
+    assert html.main_text("<div><p class=ad>Buy<div>Text</div></div>") == "Text"
+    assert html.main_text("<ul><li class=ad>Buy<ul><li>this</ul><li>Text</ul><p>more") == "Text\n\nmore"
+    assert html.main_text("<ul><li class=ad>Buy</ul><p>Text") == "Text"
+    assert html.main_text("<dl><dt class=ad>Buy<dd>Text<dd class=ad>Buy<dt>more</dl>") == "Text\n\nmore"
+    assert html.main_text("<table><tr class=ad><td>Buy<tr><td class=ad>Buy<td>Text</table><p>more") == "Text\n\nmore"
+    assert html.main_text("<html><head><title>no</title><meta charset=utf-8><body><p>Text") == "Text"
+
+
 def test_suffix_equals_brute_force(docs, none):
     got = suffix.repeat_digests(docs)
     same(got, brute.repeated_spans(pairs(docs)))
