@@ -1,7 +1,7 @@
 """Near-duplicate documents: fast similarity sketches, banding, exact confirmation.
 
-Sketch: in round i every shingle of a text is thrown into one of `BINS` bins by its i-th
-hash; an empty bin keeps the least value of the first round that reaches it. After `BINS` rounds the
+Sketch: in round i every shingle of a text is thrown into one of the bins by its i-th
+hash; an empty bin keeps the least value of the first round that reaches it. After as many rounds as bins the
 shingles go into bin 0, 1, ... in turn, so every coordinate is filled. Two sketches agree in a
 coordinate with the probability of the Jaccard similarity, and the number of agreements is
 concentrated as for independent ones.
@@ -17,8 +17,8 @@ A link inside a component changes nothing, so none that matters is lost. Links a
 confirmed on the full shingle sets (64-bit hashes of shingles); a class that many others meet is
 copied to several tasks.
 
-With 24 bands of 5 rows a pair at similarity 0.85 shares no band with probability below
-1e-6, and a text is linked through any one of its neighbours.
+There are as many bands of 5 rows as it takes for a pair at the least similarity to share none with
+probability below `MISSED` (24 at 0.85, 35 at 0.80), and a text is linked through any one of its neighbours.
 
 Rows: null or empty text and text without words has no shingles, is linked with nothing and is
 its own component; fewer than five words are one shingle; repeated rows and keys are
@@ -29,6 +29,7 @@ an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -42,7 +43,8 @@ from careweft.llm import rolling
 from careweft.session import cut_lineage
 
 SHINGLE = 5
-BINS, BANDS, ROWS = 120, 24, 5
+BINS, ROWS = 120, 5
+MISSED = 1e-6
 ROUNDS = 3
 MEMBERS_PER_TASK = 500
 
@@ -80,9 +82,14 @@ def sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
+def bands_needed(per_cent: int) -> int:
+    alike = (per_cent / 100) ** ROWS
+    return 1 if alike >= 1 else math.ceil(math.log(MISSED) / math.log1p(-alike))
+
+
 def bands(values: np.ndarray) -> list[int]:
-    rows = values[: BANDS * ROWS].reshape(BANDS, ROWS)
-    h = np.arange(BANDS, dtype="u8") * np.uint64(0x9FB21C651E98DF25)
+    rows = values.reshape(-1, ROWS)
+    h = np.arange(len(rows), dtype="u8") * np.uint64(0x9FB21C651E98DF25)
     for j in range(ROWS):
         h = rolling.mix(h * np.uint64(0x2545F4914F6CDD1D) + rows[:, j])
     return h.view("i8").tolist()
@@ -92,7 +99,7 @@ def _row() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, n_bands: int) -> DataFrame:
     """Per document: `doc_id`, `row` (tells documents of different key or text apart),
     `n_shingles`, `class` (digest of its set), `bands`, `packed` (its normal text, compressed). The
     last three are null without shingles."""
@@ -107,7 +114,7 @@ def features(docs: DataFrame) -> DataFrame:
                     plain = normal(text.as_py() or "")
                     items = shingles(plain)
                     if len(items):
-                        rows.append((len(items), hashlib.blake2b(items.tobytes(), digest_size=16).digest(), bands(sketch(items)), squeeze(plain)))
+                        rows.append((len(items), hashlib.blake2b(items.tobytes(), digest_size=16).digest(), bands(sketch(items, n_bands * ROWS)), squeeze(plain)))
                     else:
                         rows.append((0, None, None, None))
                 columns = zip(*rows, strict=True)
@@ -244,7 +251,7 @@ def _texts(rows: DataFrame, needed: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, per_cent: int) -> DataFrame:
     """Per document `doc_id`, `row`, `n_shingles`, `component_id`, and `chosen`: the row of its
     component that stays, null for documents without shingles."""
-    rows = cut_lineage(features(docs))
+    rows = cut_lineage(features(docs, bands_needed(per_cent)))
     classes = rows.filter("class is not null").groupBy("class").agg(F.min_by("bands", "doc_id").alias("bands"))
     banded = cut_lineage(classes.select("class", F.explode("bands").alias("band")))
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("centre")).filter("n > 1").drop("n")

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 import brute
 import corpus_pipeline
-from careweft.llm import packing
+from careweft.llm import near, packing
 from careweft.llm.queries import REGISTRY
 
 LENGTH = 1024
@@ -65,3 +65,12 @@ def test_pipeline(spark, sf_dir):
     for r in got:
         bins[r.sequence_id] += r.length
     assert max(bins.values()) <= LENGTH
+
+
+def test_near_stage_links_from_80(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = brute.near_components(documents(spark, sf_dir), 80)
+    staying = {key for key, _, _, chosen in found if chosen}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()} == staying
+    assert staying != {key for key, _, _, chosen in brute.near_components(documents(spark, sf_dir), 85) if chosen}
+    assert {p: near.bands_needed(p) for p in (80, 85, 100)} == {80: 35, 85: 24, 100: 1}
