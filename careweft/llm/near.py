@@ -252,7 +252,7 @@ def near_groups(docs: DataFrame, per_cent: int) -> DataFrame:
     """Per document `doc_id`, `row`, `n_shingles`, `component_id`, and `chosen`: the row of its
     component that stays, null for documents without shingles."""
     rows = cut_lineage(features(docs, bands_needed(per_cent)))
-    classes = rows.filter("class is not null").groupBy("class").agg(F.min_by("bands", "doc_id").alias("bands"))
+    classes = rows.filter("class is not null").groupBy("class").agg(F.first("bands").alias("bands"))
     banded = cut_lineage(classes.select("class", F.explode("bands").alias("band")))
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("centre")).filter("n > 1").drop("n")
     shared = cut_lineage(banded.join(sizes, "band"))
@@ -320,7 +320,7 @@ def near_groups(docs: DataFrame, per_cent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` (the least key of the component), `kept`."""
-    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept")
+    kept = F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept")
     return near_groups(docs, per_cent).select("doc_id", "n_shingles", "component_id", kept)
 
 

@@ -322,6 +322,25 @@ def test_near_duplicates_equal_brute_force(docs, none):
     assert kept.filter("doc_id in (5, 6, 7)").count() == 1
 
 
+def test_near_copies_without_a_key(spark):
+    """A null key counts as largest; its text may be the only one of its class."""
+    rng = random.Random(13)
+    base = sentence(rng, 200, 5000).split()
+    texts = []
+    for i in range(4):
+        copy = list(base)
+        copy[50 * i] = "other"
+        texts.append(" ".join(copy))
+    pair = sentence(rng, 100, 5000)
+    rows = [(7, texts[0]), (3, texts[1]), (None, texts[2]), (None, texts[3]), (None, pair), (None, pair + " more"), (9, sentence(rng, 90, 5000)), (None, None)]
+    last = 1 << 62
+    found = brute.near_components([(last if k is None else k, t) for k, t in rows])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(near.near_duplicates(df), [(None if k == last else k, n, None if c == last else c, kept) for k, n, c, kept in found])
+    kept = [(r.doc_id, r.text) for r in near.keep_one(df).collect()]
+    assert len(kept) == 4 and (3, texts[1]) in kept and (None, None) in kept
+
+
 def test_near_chains(spark):
     """Neighbours are alike, ends are not: one component all the same."""
     rng = random.Random(5)
