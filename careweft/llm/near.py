@@ -47,6 +47,7 @@ BINS, ROWS = 120, 5
 MISSED = 1e-6
 ROUNDS = 3
 MEMBERS_PER_TASK = 500
+SHINGLES_PER_CHUNK = 1 << 20
 
 
 def normal(text: str) -> bytes:
@@ -195,40 +196,66 @@ def _heads(members: DataFrame, order: Column) -> DataFrame:
     return heads.select("band", F.col("head.class").alias("centre"), F.col("head.component").alias("own"))
 
 
-def shared_sizes(texts: DataFrame) -> DataFrame:
-    """(class, size, shared): how many shingles a class has, and how many of them any other
-    class of `texts` has too. Shingles pass their task in order, one by one."""
+def _counted(texts: DataFrame) -> DataFrame:
+    """Rows (shingle, name, shared): each `SHINGLES_PER_CHUNK` of a task are counted where they are.
+    A shingle gives one row a chunk, however many classes have it: of `shared` -1 with its class if one has
+    it, 0 if several have. What a class shares inside the chunk is in rows of `shared` above 0."""
+
+    def chunk(h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(h, kind="stable")
+        h, n = h[order], n[order]
+        same = h[1:] == h[:-1]
+        first, twice = np.concatenate([[True], ~same]), np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        names, counts = np.unique(n[twice], return_counts=True)
+        columns = [np.concatenate([h[first], names]), np.concatenate([n[first], names]), np.concatenate([np.where(twice[first], 0, -1), counts]).astype("i8")]
+        for at in range(0, len(columns[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], names=["shingle", "name", "shared"])
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor().decompress
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand, held, owners, size = zstandard.ZstdDecompressor().decompress, [], [], 0
         for batch in batches:
             for name, packed in zip(batch.column("name").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                items = shingles(expand(packed))
-                yield pa.RecordBatch.from_arrays([pa.array(items.view("i8")), pa.array(np.full(len(items), name))], names=["shingle", "name"])
+                held.append(shingles(expand(packed)).view("i8"))
+                owners.append(np.full(len(held[-1]), name))
+                size += len(held[-1])
+                if size >= SHINGLES_PER_CHUNK:
+                    yield from chunk(np.concatenate(held), np.concatenate(owners))
+                    held, owners, size = [], [], 0
+        if size:
+            yield from chunk(np.concatenate(held), np.concatenate(owners))
+
+    return texts.select(F.xxhash64("class").alias("name"), "packed").mapInArrow(run, "shingle long, name long, shared long")
+
+
+def shared_sizes(texts: DataFrame) -> DataFrame:
+    """(class, size, shared): how many shingles a class has, and how many of them any other
+    class of `texts` has too. Shingles pass their task in order, a row per chunk they were counted in."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A shingle met once so far waits with its class; one met twice is remembered.
+        # A shingle met in one class so far waits with it; one met twice is remembered.
         wait_h, wait_n, often = np.zeros(0, "i8"), np.zeros(0, "i8"), None
         for batch in batches:
-            if not batch.num_rows:
+            h, n, shared = (batch.column(c).to_numpy() for c in ("shingle", "name", "shared"))
+            done = shared > 0
+            if done.any():
+                yield pa.RecordBatch.from_arrays([pa.array(n[done]), pa.array(shared[done])], names=["name", "shared"])
+            if done.all():
                 continue
-            h = np.concatenate([wait_h, batch.column("shingle").to_numpy()])
-            n = np.concatenate([wait_n, batch.column("name").to_numpy()])
+            several = np.concatenate([np.zeros(len(wait_h), bool), shared[~done] == 0])
+            h, n = np.concatenate([wait_h, h[~done]]), np.concatenate([wait_n, n[~done]])
             same = h[1:] == h[:-1]
-            twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            twice = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | several
             if often is not None:
                 twice |= h == often
             alone = not twice[-1]
             wait_h, wait_n = (h[-1:], n[-1:]) if alone else (h[:0], n[:0])
             often = None if alone else h[-1]
-            names, counts = np.unique(n[twice], return_counts=True)
+            names, counts = np.unique(n[twice & ~several], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts)], names=["name", "shared"])
 
-    name = F.xxhash64("class").alias("name")
-    pairs = texts.select(name, "packed").mapInArrow(emit, "shingle long, name long")
-    dealt = pairs.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(count, "name long, shared long")
+    dealt = _counted(texts).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(count, "name long, shared long")
     sums = dealt.groupBy("name").agg(F.sum("shared").alias("shared"))
-    sized = texts.select("class", "size", name).join(sums, "name", "left")
+    sized = texts.select("class", "size", F.xxhash64("class").alias("name")).join(sums, "name", "left")
     return sized.select("class", "size", F.coalesce("shared", F.lit(0)).alias("shared"))
 
 

@@ -376,6 +376,21 @@ def test_shared_sizes(spark):
     assert {bytes(r["class"]): r.shared for r in near.shared_sizes(texts).collect()} == {b"a": 2, b"b": 2, b"c": 0}
 
 
+@pytest.mark.parametrize("chunk", [1, 40, 1 << 20])
+def test_shared_sizes_of_a_common_passage(spark, monkeypatch, chunk):
+    monkeypatch.setattr(near, "SHINGLES_PER_CHUNK", chunk)
+    rng = random.Random(17)
+    passage = sentence(rng, 9, 10**6)
+    sets = {f"c{i:02}": f"{sentence(rng, i, 10**6)} {passage} {sentence(rng, 60 - i, 10 + i)}".strip() for i in range(40)}
+    squeeze, found = near.zstandard.ZstdCompressor().compress, {k: set(near.shingles(t.encode()).tolist()) for k, t in sets.items()}
+    rows = [(k.encode(), len(found[k]), squeeze(t.encode())) for k, t in sets.items()]
+    texts = spark.createDataFrame(rows, "class binary, size long, packed binary").coalesce(2)
+    often = Counter(x for s in found.values() for x in s)
+    assert {bytes(r["class"]).decode(): r.shared for r in near.shared_sizes(texts).collect()} == {k: sum(often[x] > 1 for x in s) for k, s in found.items()}
+    dealt = Counter(r.shingle for r in near._counted(texts).filter("shared <= 0").collect())
+    assert max(dealt.values()) <= {1: 40, 40: 40, 1 << 20: 2}[chunk] and max(often.values()) == 40
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(2)
     items = rng.integers(0, 1 << 63, 1000, dtype="u8")
