@@ -411,3 +411,25 @@ def test_licenses(spark, docs, none):
     judged = licenses.classify(spark.createDataFrame(lines, "line string"), model)
     right = {(f, n) for f, texts in licenses.NOTICES.items() for n in texts}
     assert sum((r.family, r.line) in right and r.confirmed for r in judged.collect()) > 0.9 * len(lines)
+
+
+def test_licenses_without_triggers_and_wrapped(spark, docs):
+    model = licenses.Model(licenses._training_rows(docs, spark))
+    rng = random.Random(21)
+    plain = [sentence(rng, 12) for _ in range(6)]
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    gpl, bsd = licenses.NOTICES["GPL"][1], licenses.NOTICES["BSD"][1]
+
+    def wrap(text, n, mark="# "):
+        w = text.split()
+        return "\n".join(mark + " ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+    texts = {
+        1: (mit, "MIT", 1),
+        2: ("\n".join([plain[0], wrap(mit, 7), plain[1]]), "MIT", 1),
+        3: (wrap(gpl, 8) + "\n\n" + wrap(bsd, 5, " * "), "BSD,GPL", 2),
+        4: ("\n".join(plain), "", 0),
+        5: ("\n".join([licenses.NOTICES["CC-BY-NC"][1], plain[2]]), "CC-BY-NC", 1),
+    }
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: (r.families, r.n_confirmed) for r in licenses.scan(df, model).collect()} == {k: (f, n) for k, (_, f, n) in texts.items()}
