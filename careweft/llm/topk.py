@@ -14,8 +14,8 @@ numbers, so the pairs spread over as many tasks as there are pairs. Nothing is s
 executors.
 
 Rows: vectors that are null, empty or hold null, NaN or infinite components, and rows without
-an id, take no part; an id stands for one vector, of several the greatest in array
-order; vectors of different lengths do not meet; ties go to the smaller id; an empty table gives
+an id, take no part; rows of one id are candidates one by one, and queries that share
+the k results of their id; vectors of different lengths do not meet; ties go to the smaller id; an empty table gives
 no rows; extra columns are ignored.
 """
 
@@ -36,12 +36,12 @@ CHUNK = 64
 
 
 def scaled(rows: DataFrame, scale: int) -> DataFrame:
-    """`vec_id`, `v`: floor(scale * x) of each component, a row per id."""
+    """`vec_id`, `v`: floor(scale * x) of each component."""
     x = F.col("embedding").cast("array<double>")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     kept = rows.filter(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite)
     v = F.transform(x, lambda c: F.floor(c * F.lit(float(scale))))
-    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.max("v").alias("v"))
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
 def narrow(values: np.ndarray) -> np.ndarray:
@@ -131,7 +131,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, exact: n
 
 def top_k(rows: DataFrame, divisor: int, k: int, scale: int) -> DataFrame:
     """`query_id`, `rank`, `vec_id`, `score` for the rows whose `vec_id` is divisible by
-    `divisor`, against all rows but their own id, vectors of equal length only."""
+    `divisor`, against all rows but those of their own id, vectors of equal length only."""
     vectors = scaled(rows, scale)
     is_query = F.pmod("vec_id", F.lit(divisor)) == 0
     sizes = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(is_query).alias("queries")).first()

@@ -173,6 +173,16 @@ def test_top_k_edges(spark):
     assert topk.top_k(df.limit(0), 20, 20, 64).count() == 0
 
 
+def test_top_k_keeps_rows_of_one_id(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i % 30, [float(x) for x in rng.normal(size=4).round(1)]) for i in range(70)] + [(7, [5.0] * 4)] * 2
+    want, scaled = [], [(i, np.floor(np.array(v) * 64).astype(int)) for i, v in rows]
+    for q in (0, 20):
+        found = sorted((-int(v @ w), i) for p, w in scaled if p == q for i, v in scaled if i != q)[:20]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    same(topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 20, 64), want)
+
+
 def test_top_k_with_ties_and_small_blocks(monkeypatch):
     ids = np.arange(500)
     exact = np.tile([1, 2, 3, 4], (500, 1))
