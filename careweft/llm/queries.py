@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careweft.checks.common import Registry, table
-from careweft.llm import chat, html, licenses, near, packing, quality, sql, suffix, token_files, topk, transducer
+from careweft.llm import chat, html, licenses, near, packing, quality, runs, sql, suffix, token_files, topk, transducer
 from careweft.session import staging_path
 
 REGISTRY = Registry()
@@ -74,3 +74,43 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("op9_license_scan")
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def with_planted_runs(doc_id: Column, text: Column) -> Column:
+    """The contract's texts: in one of ten documents, named by the checksum of the key, the words from one place on
+    repeat with one period. A null key plants nothing."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        places = F.sequence(F.lit(0).cast("long"), n - 1)
+        moved = F.transform(places, lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(moved, " ")).otherwise("")
+
+    # An array of one binds the words once; they would be cut anew for each word otherwise.
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.when(h % 10 == 0, F.get(F.transform(F.array(words), planted), F.lit(0))).otherwise(text)
+
+
+@REGISTRY.add("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_planted_runs(F.col("doc_id"), F.col("text")).alias("text"))
+    runs_ = F.col("found.runs")
+    none = F.lit(None).cast(runs.find_runs(docs).schema["found"].dataType["runs"].dataType.elementType)
+
+    def stronger(best: Column, run: Column) -> Column:
+        better = best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"])
+        return F.when(better, run).otherwise(best)
+
+    lines = F.transform(runs_, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    digest = F.concat(F.array_join(lines, "\n"), F.when(F.size(runs_) > 0, "\n").otherwise(""))
+    found = runs.find_runs(docs).withColumn("best", F.aggregate(runs_, none, stronger))
+    return found.select(
+        "doc_id", F.size(runs_).cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(digest, 256).alias("runs_sha256"), F.sha2(F.col("found.collapsed"), 256).alias("collapsed_sha256"),
+        F.col("found.n_words").alias("n_words"),
+    )

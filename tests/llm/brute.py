@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
+from fractions import Fraction
+
+import numpy as np
 
 WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -55,3 +59,40 @@ def repeated_spans(rows: list[tuple[int, str | None]], size: int = 200) -> list[
         kept = bytes(b for b, g in zip(d, gone, strict=True) if not g)
         out.append((key, len(d), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def periodic_runs(words: list) -> list[tuple[int, int, int]]:
+    """(start, length, period), looking at every period."""
+    number: dict = {}
+    data, found, n = np.array([number.setdefault(w, len(number)) for w in words]), [], len(words)
+    for q in range(1, n // 4 + 1):
+        same = np.concatenate([[0], (data[q:] == data[:-q]).astype(int), [0]])
+        edges = np.flatnonzero(np.diff(same))
+        for start, stop in zip(edges[::2], edges[1::2]):
+            length = int(stop - start) + q
+            part = data[start : start + length]
+            if length >= max(6, 4 * q) and not any((part[p:] == part[:-p]).all() for p in range(1, q)):
+                found.append((int(start), length, q))
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def damaged_words(doc_id: int | None, text: str | None) -> list[bytes]:
+    words = WORDS.findall((text or "").encode())
+    h = None if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h is not None and h % 10 == 0 and words:
+        g, n = h // 10, len(words)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+    return words
+
+
+def run_digest(doc_id: int | None, text: str | None) -> tuple:
+    words = damaged_words(doc_id, text)
+    runs = periodic_runs(words)
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    lines = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+    collapsed = b" ".join(w for i, w in enumerate(words) if i not in gone)
+    best = max(runs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=(None,) * 3)
+    exponent = 1000 * best[1] // best[2] if runs else None
+    return (doc_id, len(runs), *best, exponent, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(collapsed).hexdigest())

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
-from careweft.llm import chat, html, licenses, near, packing, quality, suffix, token_files, topk, transducer, words
+from careweft.llm import chat, html, licenses, near, packing, quality, queries, runs, suffix, token_files, topk, transducer, words
 from careweft.session import staging_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -443,3 +443,50 @@ def test_licenses_without_triggers_and_wrapped(spark, docs):
     }
     df = spark.createDataFrame([(k, t) for k, (t, _, _) in texts.items()], "doc_id long, text string")
     assert {r.doc_id: (r.families, r.n_confirmed) for r in licenses.scan(df, model).collect()} == {k: (f, n) for k, (_, f, n) in texts.items()}
+
+
+def test_runs_equal_to_looking_at_every_period():
+    rng = random.Random(5)
+    for _ in range(150):
+        texts = []
+        for _ in range(rng.randrange(1, 8)):
+            n, unit = rng.randrange(0, 90), []
+            if rng.random() < 0.5:
+                unit = [b"%d" % rng.randrange(rng.choice([1, 2, 3])) for _ in range(n)]
+            while len(unit) < n:
+                unit += [b"%d" % rng.randrange(3) for _ in range(rng.randrange(1, 6))] * rng.randrange(1, 9)
+                unit = unit[: len(unit) - rng.randrange(0, 3)]
+            texts.append(b" ".join(unit))
+        counts, found, left = runs._search(texts)
+        for text, n, one, rest in zip(texts, counts, found, left, strict=True):
+            words = text.split()
+            assert (n, one) == (len(words), brute.periodic_runs(words))
+            gone = {i for s, length, q in one for i in range(s + q, s + length)}
+            assert rest.split() == [w for i, w in enumerate(words) if i not in gone]
+
+
+def test_runs_of_small_pair_blocks(monkeypatch):
+    monkeypatch.setattr(runs, "PAIRS", 7)
+    text = b"x " + b"a b c " * 40 + b"y " + b"d " * 50
+    (_,), (found,), (left,) = runs._search([text])
+    assert found == brute.periodic_runs(text.split()) == [(1, 120, 3), (122, 50, 1)]
+    assert left == b"x a b c y d"
+
+
+def test_runs_edges(spark, docs, none):
+    rows = docs.withColumn("found", F.lit("clash")).withColumn("rest", F.lit(1)).withColumn("data", F.lit(2))
+    got = runs.find_runs(rows).collect()
+    assert len(got) == docs.count() and all(r.found.n_words >= 0 for r in got)
+    assert {(r.doc_id, r.found.n_words) for r in got if r.doc_id in (0, 1, 2)} == {(0, 0), (1, 0), (2, 0)}
+    assert runs.find_runs(none).collect() == []
+    same_word = spark.createDataFrame([(1, "la " * 200_000)], "doc_id long, text string")
+    (one,) = runs.find_runs(same_word).collect()
+    assert [tuple(r) for r in one.found.runs] == [(0, 200_000, 1)] and one.found.collapsed == "la"
+
+
+def test_runs_are_planted_by_key(spark):
+    rows = [(i, "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2) for i in range(40)] + [(None, "a b"), (None, None), (10, ""), (12, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = table.select("doc_id", "text", queries.with_planted_runs(F.col("doc_id"), F.col("text")).alias("out")).collect()
+    for r in got:
+        assert (r.out or "").encode().split() == brute.damaged_words(r.doc_id, r.text)
