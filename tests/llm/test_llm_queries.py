@@ -46,7 +46,7 @@ def test_pipeline(spark, sf_dir):
     docs = documents(spark, sf_dir)
     kept = {r.doc_id for r in REGISTRY.queries["op1_quality_rules"](spark, sf_dir).collect() if r.kept}
     docs = [r for r in docs if r[0] in kept]
-    staying = {key for key, _, _, chosen in brute.near_components(docs) if chosen}
+    staying = {key for key, _, _, chosen in brute.near_components(docs, 80) if chosen}
     docs = [r for r in docs if r[0] in staying]
     spans = {r[0]: r for r in brute.repeated_spans(docs)}
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -74,3 +74,10 @@ def test_near_stage_links_from_80(spark, sf_dir):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()} == staying
     assert staying != {key for key, _, _, chosen in brute.near_components(documents(spark, sf_dir), 85) if chosen}
     assert {p: near.bands_needed(p) for p in (80, 85, 100)} == {80: 35, 85: 24, 100: 1}
+
+
+def test_periodic_runs(spark, sf_dir):
+    got = REGISTRY.queries["op11_periodic_runs"](spark, sf_dir).drop("n_words").collect()
+    want = [brute.run_digest(*row) for row in documents(spark, sf_dir)]
+    assert Counter(map(tuple, got)) == Counter(want)
+    assert sum(w[1] > 0 for w in want) > 10
