@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careweft.checks.common import Registry, table
-from careweft.llm import chat, html, licenses, near, packing, quality, runs, sql, suffix, token_files, topk, transducer
+from careweft.llm import chat, html, licenses, near, packing, quality, runs, sharding, sql, suffix, token_files, topk, transducer
 from careweft.session import staging_path
 
 REGISTRY = Registry()
@@ -114,3 +114,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(digest, 256).alias("runs_sha256"), F.sha2(F.col("found.collapsed"), 256).alias("collapsed_sha256"),
         F.col("found.n_words").alias("n_words"),
     )
+
+
+@REGISTRY.add("op12_shards")
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=24)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
