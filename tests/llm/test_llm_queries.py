@@ -81,3 +81,18 @@ def test_periodic_runs(spark, sf_dir):
     want = [brute.run_digest(*row) for row in documents(spark, sf_dir)]
     assert Counter(map(tuple, got)) == Counter(want)
     assert sum(w[1] > 0 for w in want) > 10
+
+
+def test_shards(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    got = REGISTRY.queries["op12_shards"](spark, sf_dir).collect()
+    want = Counter((key, len((text or "").encode()) + 8, zlib.crc32((text or "").encode())) for key, text in docs)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    slots, load = {}, Counter()
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+        load[r.shard] += r.size
+        assert (r.law, r.grown_shard) == ("bytes", None)
+    assert sorted(slots) == list(range(24))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(load.values()) - min(load.values()) <= max(r.size for r in got)

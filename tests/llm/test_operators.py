@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
-from careweft.llm import chat, html, licenses, near, packing, quality, queries, runs, suffix, token_files, topk, transducer, words
+from careweft.llm import chat, html, licenses, near, packing, quality, queries, runs, sharding, suffix, token_files, topk, transducer, words
 from careweft.session import staging_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -490,3 +490,64 @@ def test_runs_are_planted_by_key(spark):
     got = table.select("doc_id", "text", queries.with_planted_runs(F.col("doc_id"), F.col("text")).alias("out")).collect()
     for r in got:
         assert (r.out or "").encode().split() == brute.damaged_words(r.doc_id, r.text)
+
+
+def shard_loads(got, shards: int) -> list[int]:
+    slots, load = {}, [0] * shards
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+        load[r.shard] += r.size
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return load
+
+
+@pytest.mark.parametrize("texts", ["many", "one group", "short and long"])
+def test_shards_are_equal_whatever_the_groups(spark, monkeypatch, texts):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 300)
+    monkeypatch.setattr(sharding, "SAMPLED", 4)  # rough splitters: ranges have to be subdivided
+    rng, rows = random.Random(3), []
+    for i in range(6000):
+        text = sentence(rng, rng.randrange(1, 12))
+        if texts == "one group" and i % 3 == 0:
+            text = "the same text"
+        if texts == "short and long":
+            text = "" if i % 2 else sentence(rng, 900) if i % 500 == 0 else text
+        rows.append((i if i % 7 else None, text if i % 11 else None))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.shard_by_bytes(table, 6).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((k, len(t or "") + 8, zlib.crc32((t or "").encode())) for k, t in rows)
+    load = shard_loads(got, 6)
+    assert max(load) - min(load) <= max(2 * sum(load) / 6 / sharding.PARTS, max(r.size for r in got)) + 2
+    if texts == "many":
+        homes = {}
+        for r in got:
+            homes.setdefault((r.size, r.text_crc32), set()).add(r.shard)
+        whole, sizes = sum(load) // (6 * sharding.PARTS), Counter()
+        for r in got:
+            sizes[(r.size, r.text_crc32)] += r.size
+        assert all(len(h) == 1 for g, h in homes.items() if sizes[g] <= whole)
+
+
+def test_shards_are_the_same_for_any_partitions(spark, docs):
+    one = sharding.shard_by_bytes(docs.repartition(1), 3).collect()
+    assert Counter(map(tuple, one)) == Counter(map(tuple, sharding.shard_by_bytes(docs.repartition(7), 3).collect()))
+
+
+def test_shards_edges(spark, docs, none):
+    assert sharding.shard_by_bytes(none).collect() == []
+    clash = docs.withColumns({"shard": F.lit(1), "key": F.lit(1), "weight": F.lit("w"), "size": F.lit(0)})
+    got = sharding.shard_by_bytes(clash, 50).collect()
+    assert len(got) == docs.count()
+    shard_loads(got, 50)
+    alike = spark.createDataFrame([(None, None)] * 500, "doc_id long, text string")
+    load = shard_loads(sharding.shard_by_bytes(alike, 7).collect(), 7)
+    assert max(load) - min(load) <= 16
+
+
+def test_places_of_tied_bounds():
+    rng = random.Random(1)
+    for _ in range(50):
+        bounds = sorted({tuple(rng.randrange(3) for _ in range(3)) for _ in range(rng.randrange(0, 12))})
+        rows = [tuple(rng.randrange(3) for _ in range(3)) for _ in range(20)]
+        got = sharding.places(list(np.array(bounds, "i8").reshape(-1, 3).T), list(np.array(rows, "i8").T))
+        assert got.tolist() == [sum(b <= r for b in bounds) for r in rows]
