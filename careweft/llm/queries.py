@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careweft.checks.common import Registry, table
-from careweft.llm import chat, html, licenses, near, packing, quality, runs, sharding, sql, suffix, token_files, topk, transducer
+from careweft.llm import chat, html, licenses, near, packing, quality, repair, runs, sharding, sql, suffix, token_files, topk, transducer
 from careweft.session import staging_path
 
 REGISTRY = Registry()
@@ -122,3 +122,21 @@ def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def with_planted_faults(rows: DataFrame) -> DataFrame:
+    """The contract's damage to conversations, told by a checksum of key and turn; nulls are one space."""
+    conv, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
+    fault = F.crc32(F.concat(conv, F.lit(":"), turn)) % 20
+    damaged = rows.select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(role).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"), fault.alias("fault"),
+    ).filter(F.col("fault") != 0)
+    times = F.when(F.col("fault") == 3, 2).otherwise(1)
+    return damaged.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select("conv_id", "turn", "role", "text")
+
+
+@REGISTRY.add("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair_digests(with_planted_faults(rows), rows)
