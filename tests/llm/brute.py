@@ -96,3 +96,66 @@ def run_digest(doc_id: int | None, text: str | None) -> tuple:
     best = max(runs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=(None,) * 3)
     exponent = 1000 * best[1] // best[2] if runs else None
     return (doc_id, len(runs), *best, exponent, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(collapsed).hexdigest())
+
+
+def damaged_turns(rows: list[tuple]) -> list[tuple]:
+    out = []
+    for conv, turn, role, text in rows:
+        fault = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if fault == 1 else re.sub("[.!?]", "", text) if fault == 2 else text
+        out += [(conv, turn, "user" if fault == 4 else role, text)] * (0 if fault == 0 else 2 if fault == 3 else 1)
+    return out
+
+
+def cheapest_edits(rows: list[tuple[str, str, str]]) -> tuple[int, str, list[str]]:
+    """(cost, audit, lines) of (role, text, fault), from the last row to the first."""
+    follows = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    names = {"u": "user", "a": "assistant"}
+    best: dict = {}
+    for i in range(len(rows), -1, -1):
+        for inserts in range(4, -1, -1):
+            for state in ("", "s", "u", "a"):
+                ways = [(0, "", [])] if i == len(rows) and state in ("", "a") else []
+                if i < len(rows):
+                    role, text, fault = rows[i]
+                    c, audit, lines = best[i + 1, 0, state]
+                    ways.append((c + 2, "D" + audit, lines))
+                    extra = 5 if fault == "truncated" else 0
+                    if fault not in ("blank", "duplicate"):
+                        to = follows.get((state, role[:1]))
+                        if to:
+                            c, audit, lines = best[i + 1, 0, to]
+                            ways.append((c + extra, "K" + audit, [f"{role}:{text}", *lines]))
+                        for to in "ua":
+                            if follows.get((state, to)):
+                                c, audit, lines = best[i + 1, 0, to]
+                                ways.append((c + 1 + extra, "R" + audit, [f"{names[to]}:{text}", *lines]))
+                for to in "ua":
+                    if inserts < 4 and follows.get((state, to)):
+                        c, audit, lines = best[i, inserts + 1, to]
+                        ways.append((c + 5, "I" + audit, [f"{names[to]}:", *lines]))
+                best[i, inserts, state] = min(ways, key=lambda w: w[:2]) if ways else (10**9, "", [])
+    return best[0, 0, ""]
+
+
+def repaired_conversations(rows: list[tuple], every: list) -> list[tuple]:
+    by_conv: dict = {conv: [] for conv in every}
+    for conv, turn, role, text in rows:
+        by_conv[conv].append((turn, role, text))
+    out = []
+    for conv, turns in by_conv.items():
+        turns.sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2]))
+        known, marked, numbers = set(), [], [t[0] for t in turns if t[0] is not None]
+        for _, role, text in turns:
+            solid = re.findall(r"[^\x20\x09-\x0D]", text)
+            fault = "blank" if not solid else "duplicate" if (role, text) in known else "truncated" if solid[-1] not in ".!?" else ""
+            known.add((role, text))
+            marked.append((role, text, fault))
+        faults = Counter(m[2] for m in marked)
+        illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(marked, marked[1:]))
+        gaps = max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0
+        cost, audit, lines = cheapest_edits(marked)
+        digest = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+        out.append((conv, gaps, faults["blank"], faults["duplicate"], faults["truncated"], illegal, cost, audit, digest))
+    return out

@@ -96,3 +96,12 @@ def test_shards(spark, sf_dir):
     assert sorted(slots) == list(range(24))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(load.values()) - min(load.values()) <= max(r.size for r in got)
+
+
+def test_conversation_repair(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    want = brute.repaired_conversations(brute.damaged_turns(rows), [r[0] for r in rows])
+    got = REGISTRY.queries["op13_conversation_repair"](spark, sf_dir).collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+    # Deleting a row is cheaper than inserting one, so at these costs no audit holds an insertion.
+    assert {c for w in want for c in w[7]} == set("DKR")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
-from careweft.llm import chat, html, licenses, near, packing, quality, queries, runs, sharding, suffix, token_files, topk, transducer, words
+from careweft.llm import chat, html, licenses, near, packing, quality, queries, repair, runs, sharding, suffix, token_files, topk, transducer, words
 from careweft.session import staging_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -551,3 +551,65 @@ def test_places_of_tied_bounds():
         rows = [tuple(rng.randrange(3) for _ in range(3)) for _ in range(20)]
         got = sharding.places(list(np.array(bounds, "i8").reshape(-1, 3).T), list(np.array(rows, "i8").T))
         assert got.tolist() == [sum(b <= r for b in bounds) for r in rows]
+
+
+FAULTS = {"blank": repair.UNWANTED, "duplicate": repair.UNWANTED, "truncated": repair.CUT_OFF, "": repair.GOOD}
+
+
+def kinds_of(marked) -> list[int]:
+    return [3 * (repair.INITIALS.index(role[:1]) if role[:1] in ("s", "u", "a") else 3) + FAULTS[fault] for role, _, fault in marked]
+
+
+def test_crossings_equal_to_the_cheapest_edits():
+    rng = random.Random(11)
+    for _ in range(1500):
+        weights = [rng.random() for _ in range(4)]
+        n = rng.randrange(1, 14)
+        marked = [(role, f"t{i}", rng.choice(["", "", "", "truncated", "blank"])) for i, role in enumerate(rng.choices(["system", "user", "assistant", "tool"], weights, k=n))]
+        cost, audit, _ = brute.cheapest_edits(marked)
+        kinds = kinds_of(marked)
+        edits = repair.edits_between(kinds, repair.START, None)
+        states = repair.row_crossings(kinds)
+        closing = "I" * repair.MISSING[states[-1]]
+        assert "".join(e for e, _, _ in edits) + closing == audit
+        # Cut in chunks anywhere, with summaries in place of rows.
+        cuts = sorted({0, n, *[rng.randrange(n + 1) for _ in range(3)]})
+        tables = [repair.summary(kinds[a:b]) for a, b in zip(cuts, cuts[1:])]
+        borders = [repair.START, *repair.chunk_crossings(tables)]
+        parts = [repair.edits_between(kinds[a:b], e, x) for a, b, e, x in zip(cuts, cuts[1:], borders, [*borders[1:-1], None])]
+        assert "".join(e for p in parts for e, _, _ in p) + "I" * repair.MISSING[borders[-1]] == audit
+        assert sum(t[a][b][0] for t, a, b in zip(tables, borders, borders[1:])) + repair.FINAL[borders[-1]] == cost
+
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def made_turns() -> list[tuple]:
+    rng = random.Random(2)
+    rows = [(1, i, ("user", "assistant")[i % 2], f"Say {i}.") for i in range(400)]
+    rows += [(1, rng.randrange(400), rng.choice(["user", "assistant", "system", "tool", "", None]), rng.choice(["again.", "cut", " ", None, "wow!\n"])) for _ in range(400)]
+    rows += [(None, None, "user", "no key."), (None, 2, "assistant", "still none."), (2, None, "user", "\x0b"), (3, 5, None, None), (4, 1, "user", "end.\u2028")]
+    rows += [(5, 0, "system", "only."), (6, 1, "user", "a?"), (6, 1, "user", "a?"), (7, 9, "user", "x" * 100_000 + ".")]
+    return rows
+
+
+@pytest.mark.parametrize("split", [{}, {"floor": 50, "chunk_rows": 60}])
+def test_repair_equal_to_plain_code(spark, monkeypatch, split):
+    monkeypatch.setattr(repair, "CHUNK", 37)
+    rows = made_turns()
+    table = spark.createDataFrame(rows, TURNS).repartition(6).withColumns({"pos": F.lit("clash"), "kind": F.lit(1)})
+    filled = [(c, t, " " if r is None else r, " " if x is None else x) for c, t, r, x in rows]
+    every = spark.createDataFrame(rows + [(99, 1, "user", "gone")], TURNS)
+    got = repair.repair_digests(table, every, **split).collect()
+    assert Counter(map(tuple, got)) == Counter(brute.repaired_conversations(filled, [r[0] for r in rows] + [99]))
+
+
+def test_planted_faults(spark):
+    rows = made_turns()
+    got = queries.with_planted_faults(spark.createDataFrame(rows, TURNS)).collect()
+    assert Counter(map(tuple, got)) == Counter(brute.damaged_turns(rows))
+
+
+def test_repair_of_nothing(spark):
+    nothing = spark.createDataFrame([], TURNS)
+    assert repair.repair_digests(nothing, nothing).collect() == []
