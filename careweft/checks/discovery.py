@@ -14,6 +14,7 @@ from careweft.plans.catalog_search import (
     row_counts,
 )
 from careweft.plans.profile import profile_table
+from careweft.plans.signatures import files_to_read, search_files, update_signatures
 from careweft.plans.value_search import search_full_rows, search_values
 from careweft.session import staging_path
 from careweft.sources.listing import list_files
@@ -249,6 +250,64 @@ def value_search_full_rows(spark, sf_dir):
     )
 
 
+# Tables that are written as eight files by key, their text columns, and a pattern.
+IN_FILES = {"documents": "doc_id", "customer": "c_custkey", "pages": "page_id", "conversations": "conv_id"}
+IN_FILES_PATTERN = "license"
+
+
+def _files_sql(pattern: str) -> str:
+    """A file has to be read when one of its columns holds all strings of three letters of the pattern."""
+    parts = []
+    for t, key in IN_FILES.items():
+        columns = [c for name, c, _ in TEXT_COLUMNS if name == t]
+        held = [[f"bool_or(contains(lower({c}), '{pattern[i:i + 3]}'))" for i in range(len(pattern) - 2)] for c in columns]
+        may_hold = " OR ".join("(" + " AND ".join(tests) + ")" for tests in held)
+        holds = " OR ".join(f"bool_or(contains(lower({c}), '{pattern}'))" for c in columns)
+        parts.append(
+            f"""SELECT '{t}' AS table_name, count(*) AS files_there, count(*) FILTER (WHERE may_hold) AS files_read,
+            count(*) FILTER (WHERE holds) AS files_with_hits
+            FROM (SELECT {key} % 8, {may_hold} AS may_hold, {holds} AS holds FROM {t} GROUP BY 1)"""
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+def _in_files(spark, sf_dir):
+    """Paths of the tables as eight files each, and their signatures."""
+    paths = {}
+    for name, key in IN_FILES.items():
+        paths[name] = staging_path(spark, name)
+        rows = table(spark, sf_dir, name).withColumn("part", F.pmod(F.col(key), F.lit(8)))
+        rows.repartition(8, "part").write.partitionBy("part").parquet(paths[name])
+    sidecar = staging_path(spark, "signatures")
+    update_signatures(spark, paths, sidecar)
+    return paths, spark.read.parquet(sidecar)
+
+
+@REGISTRY.add(
+    "value_search_indexed",
+    _search_sql([c for c in TEXT_COLUMNS if c[0] in IN_FILES], f"%{IN_FILES_PATTERN}%"),
+)
+def value_search_indexed(spark, sf_dir):
+    paths, sidecar = _in_files(spark, sf_dir)
+    return search_files(spark, paths, sidecar, IN_FILES_PATTERN)
+
+
+@REGISTRY.add("value_search_files", _files_sql(IN_FILES_PATTERN))
+def value_search_files(spark, sf_dir):
+    """Files there, files that the signatures let be read, and files that hold a hit."""
+    paths, sidecar = _in_files(spark, sf_dir)
+    files = files_to_read(spark, paths, sidecar, IN_FILES_PATTERN)
+    read = files.groupBy("table_name").agg(F.count(F.lit(1)).alias("files_there"), F.count_if("read").alias("files_read"))
+    frames_ = {n: spark.read.parquet(p).withColumn("_file", F.col("_metadata.file_path")) for n, p in paths.items()}
+    found = search_full_rows(frames_, IN_FILES_PATTERN, rows=0, column_like="%")
+    found = found.filter(F.col("column_found") != "_file").groupBy("table_found").agg(
+        F.count_distinct(F.get_json_object("row_json", "$._file")).alias("files_with_hits")
+    )
+    return read.join(found, read["table_name"] == found["table_found"], "left").select(
+        "table_name", "files_there", "files_read", F.coalesce("files_with_hits", F.lit(0)).cast("long").alias("files_with_hits")
+    )
+
+
 COUNTS_SQL = "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES
 )

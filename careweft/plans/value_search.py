@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,19 +65,21 @@ def searchable_columns(
 
 
 def _hits(df: DataFrame, pattern: str, columns: Mapping[str, Column], extra: Sequence[Column]):
-    """One row per matching (row, column); others never leave the array."""
-    hits = []
-    for name, text in columns.items():
-        hit = F.struct(
+    """One row per matching (row, column).
+
+    Columns become rows first and the test runs on those rows, so each value is tested
+    once; what is taken from the row besides is computed for hits only.
+    """
+    pairs = [
+        F.struct(
             F.lit(name).alias("column_name"),
             text.alias("column_value"),
             F.lit(df.schema[name].dataType.simpleString()).alias("column_type"),
         )
-        hits.append(F.when(contains_text(text, pattern), hit))
-    # Rows without a hit go before anything else is computed from them.
-    found = df.withColumn("_hits", F.array_compact(F.array(*hits))).filter(F.size("_hits") > 0)
-    rows = found.select(*extra, F.explode("_hits").alias("_hit"))
-    return rows.select("*", "_hit.*").drop("_hit")
+        for name, text in columns.items()
+    ]
+    rows = df.select(*extra, F.explode(F.array(*pairs)).alias("_hit"))
+    return rows.filter(contains_text(F.col("_hit.column_value"), pattern)).select("*", "_hit.*").drop("_hit")
 
 
 def _matching(tables: Mapping[str, DataFrame], pattern: str, table_like: str, options: dict):
@@ -93,7 +94,11 @@ def _stack(parts: list[DataFrame], tables: Mapping[str, DataFrame], schema: str)
     if not parts:
         spark = next(iter(tables.values())).sparkSession
         return spark.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, parts)
+    # In pairs: each union is analysed anew with all that is below it.
+    while len(parts) > 1:
+        halves = zip(parts[::2], [*parts[1::2], None])
+        parts = [a if b is None else a.union(b) for a, b in halves]
+    return parts[0]
 
 
 def search_values(
