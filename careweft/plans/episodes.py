@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careweft.functions.predicates import as_column
@@ -14,6 +14,8 @@ from careweft.operators.ordered import AUTO, OrderedKeys
 from careweft.operators.skew import CHUNK_ROWS, HOT_ROWS, HotKeys, hot_keys
 from careweft.session import cut_lineage
 
+BETWEEN_DATES = ";\n"
+
 
 @dataclass(frozen=True)
 class ClaimColumns:
@@ -191,8 +193,8 @@ def build_episodes(
 
     A claim that would push the running service days over the limit starts a
     recertification episode; totals restart there. One row per claim with the
-    running values of its episode. All steps share one shuffle by key unless a
-    key is too large for a task. `large`: keys above `chain_floor`, if known.
+    running values of its episode; `service_dates` adds the list of dates so far. All steps
+    share one shuffle by key unless a key is too large for a task. `large`: keys above `chain_floor`, if known.
     """
     large = hot_keys(df, [columns.key], chain_floor) if large is AUTO else large
     return _episode_rows(df, columns, limit, gap, floor, chain_floor, chunk_rows, large)
@@ -229,20 +231,19 @@ def _episode_rows(
         F.col(c.provider).alias("provider"),
     )
     episode = [*stay, "stay_seq"]
+    dates = F.concat_ws(
+        " - ", F.date_format(c.from_dt, "yyyy-MM-dd"), F.date_format(c.thru_dt, "yyyy-MM-dd")
+    )
     rows = OrderedKeys(chain, episode, ["epsd_seq"], floor, chunk_rows, very_large).running(
         sums={
             "_days": F.col(c.days).cast("long"),
             "_amount": F.col(c.amount),
             "_no_days": F.col(c.days).isNull().cast("long"),
             "_no_amount": F.col(c.amount).isNull().cast("long"),
+            "_dates_end": F.length(dates) + F.lit(len(BETWEEN_DATES)).cast("long"),
         },
         latest={"_first": F.when(F.col("epsd_seq") == 1, first)},
     )
-    # Claims of an episode are bounded by the day limit, and so is this list.
-    so_far = Window.partitionBy(*episode).orderBy("epsd_seq")
-    dates = F.concat_ws(
-        " - ", F.date_format(c.from_dt, "yyyy-MM-dd"), F.date_format(c.thru_dt, "yyyy-MM-dd")
-    )
     return rows.frame.select(
         *df.columns,
         "is_anchor",
@@ -261,7 +262,8 @@ def _episode_rows(
         F.col("_first.thru_dt").alias("epsd_first_thru_dt"),
         F.col("_first.provider").alias("epsd_provider"),
         F.col(c.thru_dt).alias("epsd_thru_dt"),
-        F.concat_ws(";\n", F.collect_list(dates).over(so_far)).alias("epsd_service_dates"),
+        dates.alias("epsd_dates"),
+        (F.col("_dates_end") - len(BETWEEN_DATES)).alias("epsd_dates_end"),
         F.when(F.col("_no_days") == 0, F.col("_days")).alias("epsd_days"),
         F.when(F.col("_no_amount") == 0, F.col("_amount")).alias("epsd_amount"),
         F.col("epsd_seq").alias("epsd_claim_count"),
@@ -269,6 +271,31 @@ def _episode_rows(
     )
 
 
+def _dates_text(rows: Column) -> Column:
+    """Service dates of rows (`epsd_seq`, `epsd_dates`) in order, each once."""
+    return F.array_join(F.transform(F.array_sort(rows), lambda r: r["epsd_dates"]), BETWEEN_DATES)
+
+
+def service_dates(
+    rows: DataFrame, columns: ClaimColumns = ClaimColumns(), out: str = "epsd_service_dates"
+) -> DataFrame:
+    """Add the service dates of the episode up to each row, to rows of `build_episodes`.
+
+    The text of an episode is built once; a row takes as much of it as its
+    `epsd_dates_end` says. Asked for all rows, this is as long as all prefixes together:
+    filter the rows of the result, or take `episode_table` for one text per episode.
+    """
+    episode = [columns.key, "stay_id", "stay_seq"]
+    others = [c for c in rows.columns if c not in episode]
+    first = F.struct(*[F.col(c).alias(c) for c in ("epsd_seq", *[o for o in others if o != "epsd_seq"])])
+    packed = rows.groupBy(*episode).agg(F.collect_list(first).alias("_rows"))
+    texts = packed.withColumn("_text", _dates_text(F.transform("_rows", lambda r: F.struct(r["epsd_seq"], r["epsd_dates"]))))
+    listed = texts.select(*episode, "_text", F.explode("_rows").alias("_row"))
+    prefix = F.substring(F.col("_text"), F.lit(1), F.col("_row.epsd_dates_end").cast("int"))
+    columns_ = [F.col(c) if c in episode else F.col("_row")[c].alias(c) for c in rows.columns]
+    return listed.select(*columns_, prefix.alias(out))
+
+
 def episodes_only(
     rows: DataFrame,
     columns: ClaimColumns = ClaimColumns(),
@@ -282,11 +309,17 @@ def episodes_only(
     ends = OrderedKeys(
         rows, [columns.key, "stay_id"], [F.col("stay_pos").desc()], floor, chunk_rows, hot
     ).running(latest={"_last": last})
+    # The last row of each episode and the text of all its dates, in one pass.
+    last_row = F.max_by(F.struct(*[F.col(c) for c in ends.frame.columns]), F.col("epsd_seq"))
+    episode = [columns.key, "stay_id", "stay_seq"]
+    closed = ends.frame.groupBy(*episode).agg(
+        last_row.alias("_end"), F.collect_list(F.struct("epsd_seq", "epsd_dates")).alias("_dates")
+    )
     return (
-        ends.frame.filter(F.col("epsd_end") == 1)
+        closed.select("_end.*", _dates_text(F.col("_dates")).alias("epsd_service_dates"))
         .withColumn("stay_end", (F.col("_last.stay_pos") == F.col("stay_pos")).cast("int"))
         .withColumn("stay_end_dt", F.col("_last.thru_dt"))
-        .drop("_last")
+        .drop("_last", "epsd_dates", "epsd_dates_end")
     )
 
 

@@ -110,13 +110,30 @@ def test_missing_days_keep_the_episode_open(spark):
 
 def test_service_dates_and_types(spark):
     df = chain(spark, [(1, "A", 0, 29), (2, "A", 30, 59), (3, "A", 60, 60)])
-    rows = ep.build_episodes(df).orderBy("seq").collect()
+    built = ep.build_episodes(df)
+    assert "epsd_service_dates" not in built.columns  # a row keeps the end of its list only
+    rows = ep.service_dates(built).orderBy("seq").collect()
     assert rows[1]["epsd_service_dates"] == (
         "2024-03-01 - 2024-03-30;\n2024-03-31 - 2024-04-29"
     )
     assert [r["epsd_type"] for r in rows] == ["Initial", "Initial", "Recertification"]
     assert [r["epsd_end"] for r in rows] == [0, 1, 1]
     assert rows[2]["epsd_service_dates"] == "2024-04-30 - 2024-04-30"
+    table = ep.episode_table(df).orderBy("stay_seq").collect()
+    assert [r["epsd_service_dates"] for r in table] == [rows[1]["epsd_service_dates"], rows[2]["epsd_service_dates"]]
+
+
+def test_service_dates_of_missing_dates_and_many_claims(spark):
+    df = chain(spark, [(i, "A", 0, 0) for i in range(1, 301)]).withColumns(
+        {"days": F.lit(0), "thru_dt": F.when(F.col("seq") != 2, F.col("thru_dt"))}
+    )
+    whole = [r["epsd_service_dates"] for r in ep.service_dates(ep.build_episodes(df)).orderBy("seq").collect()]
+    own = [r["epsd_dates"] for r in ep.build_episodes(df).orderBy("seq").collect()]
+    state, start = [], 0
+    for i, text in enumerate(own):
+        start = i if i in (0, 2) else start  # a claim without an end date breaks the chain
+        state.append(";\n".join(own[start : i + 1]))
+    assert whole == state
 
 
 def test_empty_claims(spark):

@@ -188,6 +188,23 @@ def test_episode_chain(spark, claims, chunk):
     assert got == want
 
 
+@pytest.mark.parametrize("counts", [[1], [2, 1], [500], [None], [3, 0, 7], [1] * 30 + [90]])
+def test_episode_chain_of_regular_counts(spark, counts):
+    """Starts at every row, and episodes over several ranges."""
+    n = 260
+    rows = [(None, i, counts[i % len(counts)]) for i in range(1, n + 1)]
+    df = spark.createDataFrame(rows, "mbi int, seq int, ct int")
+    want, left, episode, place = [], 0, 0, 0
+    for _, seq, ct in rows:
+        if left == 0:
+            episode, left, place = episode + 1, 10**9 if ct is None else max(ct, 1), 0
+        left, place = left - 1, place + 1
+        want.append((seq, episode, place, 1 if left == 0 or seq == n else 0))
+    for options in ({"floor": NEVER}, {"floor": 25, "chunk_rows": 40}):
+        got = assign_episode_chain(df, ["mbi"], "seq", "ct", **options).collect()
+        assert sorted((r["seq"], r["episode"], r["episode_seq"], r["episode_end"]) for r in got) == want
+
+
 def brute_episodes(rows, limit=60, gap=61):
     """The recursive rule, row by row."""
     out = {}
