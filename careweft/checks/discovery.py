@@ -15,6 +15,7 @@ from careweft.plans.catalog_search import (
 )
 from careweft.plans.profile import profile_table
 from careweft.plans.signatures import files_to_read, search_files, update_signatures
+from careweft.plans.sketches import SCHEMA as SKETCHES, current, united_profile, update_sketches
 from careweft.plans.value_search import search_full_rows, search_values
 from careweft.session import staging_path
 from careweft.sources.listing import list_files
@@ -118,6 +119,59 @@ def _search_sql(columns: list[tuple[str, str, str]], like: str) -> str:
     )
 
 
+SKETCHED = {"orders": ("o_orderkey", ORDER_COLUMNS), "documents": ("doc_id", DOCUMENT_COLUMNS)}
+
+
+def _sketched_sql() -> str:
+    """Exact values; the last two columns say that an estimate is near enough."""
+    parts = []
+    for t, (_, columns) in SKETCHED.items():
+        for c, kind in columns:
+            number = kind in ("number", "whole")
+            lo, hi, avg = (f"{f}(CAST({c} AS DOUBLE))" if number else "CAST(NULL AS DOUBLE)" for f in ("min", "max", "avg"))
+            empty = f"nullif({c}, '') IS NULL" if kind == "text" else f"{c} IS NULL"
+            length = "19" if kind == "other" else f"length(CAST({c} AS VARCHAR))"
+            parts.append(
+                f"""SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS total_count,
+                count(*) FILTER (WHERE {c} IS NULL) AS null_count, count(*) FILTER (WHERE {empty}) AS empty_count,
+                {lo} AS min_value, {hi} AS max_value, round({avg}, 4) AS average,
+                CAST(min({length}) AS BIGINT) AS min_length, CAST(max({length}) AS BIGINT) AS max_length,
+                TRUE AS distinct_within_3_percent, TRUE AS quartiles_within_2_percent FROM {t}"""
+            )
+    return "\nUNION ALL\n".join(parts)
+
+
+@REGISTRY.add("profile_sketches", _sketched_sql())
+def profile_sketches(spark, sf_dir):
+    """Tables that grow in two steps, each file profiled once; estimates are held against exact counts."""
+    paths, store, exact = {}, staging_path(spark, "sketches"), []
+    for half in (0, 1):
+        for name, (key, columns) in SKETCHED.items():
+            paths.setdefault(name, staging_path(spark, name))
+            rows = table(spark, sf_dir, name).select(*[c for c, _ in columns])
+            rows.filter(F.pmod(F.col(key), F.lit(2)) == half).repartition(4, key).write.mode("append").parquet(paths[name])
+        update_sketches(spark, paths, store)
+    found = united_profile(current(spark, paths, spark.read.schema(SKETCHES).parquet(store)))
+    # The estimates are a row per column.
+    quartiles = {(r["table_name"], r["column_name"]): r["quantiles"] for r in found.collect()}
+    for name, (_, columns) in SKETCHED.items():
+        whole, near = table(spark, sf_dir, name), []
+        for c, kind in columns:
+            below = [F.avg((F.col(c) < q).cast("double")) for q in quartiles[name, c] or []]
+            upto = [F.avg((F.col(c) <= q).cast("double")) for q in quartiles[name, c] or []]
+            tests = [(a <= want + 0.02) & (b >= want - 0.02) for a, b, want in zip(below, upto, (0.25, 0.5, 0.75))]
+            near.append(F.struct(F.lit(c).alias("c"), F.count_distinct(F.col(c)).alias("n"), F.forall(F.array(F.lit(True), *tests), lambda x: x).alias("ok")))
+        exact.append(whole.agg(F.array(*near).alias("_x")).select(F.lit(name).alias("t"), F.inline("_x")))
+    joined = found.join(F.broadcast(exact[0].union(exact[1])), (F.col("t") == F.col("table_name")) & (F.col("c") == F.col("column_name")))
+    counts = ["total_count", "null_count", "empty_count"]
+    return joined.select(
+        "table_name", "column_name", *counts, "min_value", "max_value", F.round("average", 4).alias("average"),
+        F.col("min_length").cast("long").alias("min_length"), F.col("max_length").cast("long").alias("max_length"),
+        (F.abs(F.col("distinct_estimate") - F.col("n")) <= F.lit(0.03) * F.col("n")).alias("distinct_within_3_percent"),
+        F.col("ok").alias("quartiles_within_2_percent"),
+    )
+
+
 LARGE_SQL = """WITH k AS (SELECT 9007199254740993 + o_orderkey AS k FROM orders)
   SELECT 'large_key' AS column_name, CAST(min(k) AS VARCHAR) AS min_text, CAST(max(k) AS VARCHAR) AS max_text FROM k
   UNION ALL

@@ -428,6 +428,20 @@ def code_table_usage(spark, sf_dir):
 POPULATION = [(7, "BUILDING"), (8, None), (None, None), (7, "BUILDING"), (21, "AUTOMOBILE")]
 
 
+@REGISTRY.add(
+    "population_of_many_keys",
+    """SELECT l_orderkey, count(*) AS lines, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS price
+       FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 495000)
+       GROUP BY l_orderkey""",
+)
+def population_of_many_keys(spark, sf_dir):
+    """The way of a list too long to broadcast, taken for any length."""
+    chosen = table(spark, sf_dir, "orders").filter("o_totalprice > 495000").select(F.col("o_orderkey").alias("l_orderkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
+    kept = in_population(lines, chosen, ["l_orderkey"], small=0)
+    return kept.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.sum("price").cast("double").alias("price"))
+
+
 @REGISTRY.add(
     "values_population",
     """SELECT o_orderkey, o_custkey, o_orderpriority FROM orders

@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from careweft.functions.predicates import name_like
 from careweft.plans.value_search import search_values, searchable_columns
+from careweft.sources.by_file import FILE, file_columns, listed_files, read_files, update_by_file
 
 BITS, BLOCK = 1 << 15, 1 << 22
 # Column types are all indexed; which are searched is up to the search.
 EVERYTHING = {"nested": True, "floats": True, "dates": True, "booleans": True}
-FILE = ["file", "file_size", "changed"]
 SCHEMA = "table_name string, file string, file_size long, changed timestamp, column_name string, bucket int, bits binary"
 
 
@@ -85,22 +85,12 @@ def bitmaps(numbers: np.ndarray) -> dict[int, bytes]:
     return out
 
 
-def known_files(spark: SparkSession, path: str) -> DataFrame:
-    """`location` to read a file of a table by, and `file`, `file_size`, `changed`; nothing is opened."""
-    listed = spark.read.format("binaryFile").load(path)
-    return listed.select(
-        F.col("path").alias("location"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("changed"),
-    )
-
-
 def table_signatures(name: str, df: DataFrame) -> DataFrame:
     """Signatures of the files behind `df`, a table as it was read. One pass; bitmaps of a file are united over the tasks that
     read parts of it. A bucket of -1 says that file and column are known."""
     columns = searchable_columns(df, "0", **EVERYTHING)
     names = list(columns)
     texts = [F.lower(text).cast("binary").alias(f"c{i}") for i, text in enumerate(columns.values())]
-    metadata = [F.col(f"_metadata.{m}").alias(c) for m, c in zip(("file_path", "file_size", "file_modification_time"), FILE, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 24, bool)
@@ -121,7 +111,7 @@ def table_signatures(name: str, df: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*of_file, *new], names=[*FILE, "column_name", "bucket", "bits"])
                 begin = end
 
-    found = df.select(*metadata, *texts).mapInArrow(run, SCHEMA.replace("table_name string, ", ""))
+    found = df.select(*file_columns(), *texts).mapInArrow(run, SCHEMA.replace("table_name string, ", ""))
     united = found.groupBy(*FILE, "column_name", "bucket").agg(F.bitmap_or_agg(F.coalesce("bits", F.lit(b""))).alias("bits"))
     bits = F.when(F.col("bucket") >= 0, F.col("bits")).alias("bits")
     return united.select(F.lit(name).alias("table_name"), *FILE, "column_name", "bucket", bits)
@@ -129,26 +119,7 @@ def table_signatures(name: str, df: DataFrame) -> DataFrame:
 
 def update_signatures(spark: SparkSession, paths: Mapping[str, str], sidecar: str, fmt: str = "parquet") -> None:
     """Add the files that the sidecar at this path does not know as they are now; known files are not opened again."""
-    old = spark.read.schema(SCHEMA).parquet(sidecar) if _exists(spark, sidecar) else spark.createDataFrame([], SCHEMA)
-    for name, path in sorted(paths.items()):
-        known = old.filter((F.col("table_name") == name) & (F.col("bucket") == -1)).select(*FILE).distinct()
-        new = [r["location"] for r in known_files(spark, path).join(known, FILE, "left_anti").select("location").collect()]
-        if new:
-            whole = spark.read.format(fmt).load(path)
-            part = _read(spark, path, new, whole, fmt)
-            table_signatures(name, part).write.mode("append").parquet(sidecar)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
-def _read(spark: SparkSession, path: str, files: list[str], whole: DataFrame, fmt: str) -> DataFrame:
-    reader = spark.read.format(fmt).schema(whole.schema)
-    # A table that is a single file has no folder to count its partitions from.
-    folder = reader if files == [path] or path.rstrip("/").endswith(files[0].rsplit("/", 1)[-1]) else reader.option("basePath", path)
-    return folder.load(files)
+    update_by_file(spark, paths, sidecar, SCHEMA, table_signatures, fmt)
 
 
 def _holds(numbers: list[int]) -> Column:
@@ -188,7 +159,7 @@ def files_to_read(
     for name in sorted(paths):
         if not name_like(name, table_like):
             continue
-        files = known_files(spark, paths[name]).select(F.lit(name).alias("table_name"), "location", *FILE)
+        files = listed_files(spark, paths[name]).select(F.lit(name).alias("table_name"), "location", *FILE)
         columns = list(searchable_columns(spark.read.format(fmt).load(paths[name]), pattern, column_like, **types))
         if not needed:
             parts.append(files.select("table_name", "location", F.lit(bool(columns)).alias("read")))
@@ -229,5 +200,5 @@ def search_files(
     tables = {}
     for name, path in paths.items():
         whole = spark.read.format(fmt).load(path)
-        tables[name] = _read(spark, path, sorted(files[name]), whole, fmt) if name in files else spark.createDataFrame([], whole.schema)
+        tables[name] = read_files(spark, path, sorted(files[name]), whole, fmt) if name in files else spark.createDataFrame([], whole.schema)
     return search_values(tables, pattern, **options)
