@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from careweft.checks.common import Registry, as_types, table
 from careweft.functions.types import render_data_type
+from careweft.plans.branches import search_each
 from careweft.plans.catalog_search import (
     Inventory,
     catalog_search,
@@ -362,6 +363,30 @@ def value_search_files(spark, sf_dir):
     )
 
 
+@REGISTRY.add(
+    "value_search_isolated",
+    f"""WITH hits AS ({_search_sql(TEXT_COLUMNS, "%in%")}),
+    found AS (SELECT table_name, sum(row_count) AS hits FROM hits GROUP BY 1)
+    SELECT t.table_name, 'searched' AS outcome, CAST(coalesce(hits, 0) AS BIGINT) AS hits
+    FROM (SELECT unnest({TABLES!r}) AS table_name) t LEFT JOIN found USING (table_name)
+    UNION ALL SELECT 'unreadable', 'failed', 0""",
+)
+def value_search_isolated(spark, sf_dir):
+    """All tables and one more whose file is no table: a problem of its own, found while it is read."""
+    broken = staging_path(spark, "unreadable")
+    table(spark, sf_dir, "region").select("r_name").write.text(broken)
+    tables = {name: lambda name=name: table(spark, sf_dir, name) for name in TABLES}
+    tables["unreadable"] = lambda: spark.read.schema("r_name string").parquet(broken)
+    hits, problems = search_each(spark, tables, "IN")
+    names = spark.createDataFrame([(n,) for n in tables], "table_name string")
+    counted = hits.groupBy("table_name").agg(F.sum("row_count").alias("hits"))
+    failed = problems.select(F.col("branch").alias("table_name"), F.lit("failed").alias("failed"))
+    joined = names.join(counted, "table_name", "left").join(failed, "table_name", "left")
+    return joined.select(
+        "table_name", F.coalesce("failed", F.lit("searched")).alias("outcome"), F.coalesce("hits", F.lit(0)).cast("long").alias("hits")
+    )
+
+
 COUNTS_SQL = "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES
 )

@@ -14,6 +14,7 @@ from careweft.sources.delimited import marked_files, read_delimited, read_wide_c
 from careweft.sources.links import extract_links
 from careweft.sources.tables import create_view, replace_table
 from careweft.sources.values import in_population, values_df
+from careweft.sources.versions import publish, roll_back
 
 REGISTRY = Registry()
 
@@ -286,6 +287,25 @@ def replaced_table(spark, sf_dir):
     return replace_table(part.filter("p_size > 10"), name, path=staging_path(spark, name))
 
 
+@REGISTRY.add(
+    "replace_without_gap",
+    """SELECT 'present' AS version, count(*) AS parts, sum(p_size) AS sizes FROM part WHERE p_size > 10
+       UNION ALL
+       SELECT 'previous', count(*), sum(p_size) FROM part WHERE p_size <= 10""",
+)
+def replaced_without_gap(spark, sf_dir):
+    """The table after two versions were published, and after going back by one."""
+    part, name = table(spark, sf_dir, "part").select("p_partkey", "p_size"), "careweft_published_part"
+    root = staging_path(spark, name)
+
+    def summed(rows, label):
+        return rows.agg(F.lit(label).alias("version"), F.count(F.lit(1)).alias("parts"), F.sum("p_size").alias("sizes"))
+
+    publish(part.filter("p_size <= 10"), name, root)
+    present = summed(publish(part.filter("p_size > 10"), name, root), "present")
+    return present.unionByName(summed(roll_back(spark, name, root), "previous"))
+
+
 @REGISTRY.add(
     "commented_view",
     """SELECT o_orderpriority AS priority, count(*) AS orders FROM orders GROUP BY 1""",
