@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +44,38 @@ def _with_point(unscaled: str, scale: str) -> Column:
     return F.concat(F.when(F.col(unscaled) < 0, "-").otherwise(""), whole, rest)
 
 
+# A double is a whole number times a power of two; those in one limb of so many powers are added up together.
+LIMB = 32
+
+
+def _limb_of(number: Column) -> tuple[Column, Column]:
+    """The limb of a finite double, and how often it holds 2**(LIMB * limb): a whole number of at most 87 bits."""
+    low = F.floor(F.log2(F.abs(number))) - 54  # at or below the last bit; the logarithm may be off by one
+    limb = F.floor(low / LIMB)
+    half = F.floor(low / 2)
+    # In two steps, as neither power alone may be a double.
+    whole = number * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - low)
+    shifted = whole.cast("long").cast("decimal(20,0)") * F.pow(F.lit(2.0), low - limb * LIMB).cast("long").cast("decimal(10,0)")
+    usable = number.isNotNull() & (number != 0) & ~F.isnan(number) & (F.abs(number) < float("inf"))
+    return F.when(usable, limb.cast("int")), F.when(usable, shifted)
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_mean(limbs: pd.Series, counts: pd.Series) -> pd.Series:
+    """The double nearest to the sum of limbs by the count; a row per column."""
+
+    def mean(parts, n) -> float | None:
+        if parts is None or n is None or pd.isna(n) or not n:
+            return None
+        total = sum((int(p["sum"]) * Fraction(2) ** (LIMB * int(p["limb"])) for p in parts), Fraction(0)) / int(n)
+        try:
+            return float(total)
+        except OverflowError:
+            return math.copysign(math.inf, total)
+
+    return pd.Series([mean(p, n) for p, n in zip(limbs, counts)], dtype="float64")
+
+
 def profile_table(df: DataFrame) -> DataFrame:
     """Counts, extremes, frequencies and lengths of every column, in one scan.
 
@@ -49,7 +85,8 @@ def profile_table(df: DataFrame) -> DataFrame:
     their length. Null is a value for the frequencies and the unique count, not
     for the distinct count. Minimum, maximum and average are for numbers only, as
     doubles; whole and decimal numbers also have their exact extremes as text,
-    compared by their digits.
+    compared by their digits. Averages are those of exact sums, so they do not depend on
+    how rows are partitioned: doubles are added up as whole numbers, by limbs of their exponents.
     """
     fields = df.schema.fields
     pairs = [
@@ -78,7 +115,9 @@ def profile_table(df: DataFrame) -> DataFrame:
     exact = [i for i, f in enumerate(fields, 1) if _scale(f.dataType) is not None]
     unscaled = F.when(F.col("ordinal").isin(exact), F.replace("value", F.lit("."), F.lit("")).try_cast("decimal(38,0)"))
     is_empty = value.isNull() | (F.col("ordinal").isin(texts) & (value == ""))
-    stats = values.groupBy("ordinal").agg(
+    limb, part = _limb_of(number)
+    # A row per column and limb: a few for each column.
+    limbs = values.withColumns({"limb": limb, "part": part}).groupBy("ordinal", "limb").agg(
         F.sum(n).alias("total_count"),
         F.count(value).alias("distinct_count"),
         F.count_if(n == 1).alias("unique_count"),
@@ -88,13 +127,32 @@ def profile_table(df: DataFrame) -> DataFrame:
         F.max(number).alias("max_value"),
         F.min(unscaled).alias("lowest"),
         F.max(unscaled).alias("highest"),
-        (F.sum(number * n) / F.sum(F.when(number.isNotNull(), n))).alias("average"),
+        F.sum(F.col("part") * n.cast("decimal(18,0)")).cast("string").alias("sum"),
+        F.sum(F.when(number.isNotNull(), n)).alias("numbers"),
+        # Values without a sum: NaN and the infinities.
+        F.sum(F.when(F.isnan(number) | (F.abs(number) == float("inf")), number)).alias("odd"),
         F.max(n).alias("mode_frequency"),
         F.min(n).alias("anti_mode_frequency"),
         F.min(length).alias("min_length"),
         F.max(length).alias("max_length"),
-        (F.sum(length * n) / F.sum(F.when(length.isNotNull(), n))).alias("average_length"),
+        F.sum(length * n).alias("lengths"),
+        F.sum(F.when(length.isNotNull(), n)).alias("with_length"),
+    )
+    added = ["total_count", "distinct_count", "unique_count", "null_count", "empty_count"]
+    united = limbs.groupBy("ordinal").agg(
+        *[F.sum(c).alias(c) for c in added],
+        *[F.min(c).alias(c) for c in ("min_value", "lowest", "anti_mode_frequency", "min_length")],
+        *[F.max(c).alias(c) for c in ("max_value", "highest", "mode_frequency", "max_length")],
+        F.collect_list(F.when(F.col("limb").isNotNull(), F.struct("limb", "sum"))).alias("limbs"),
+        F.sum("numbers").alias("numbers"),
+        F.sum("odd").alias("odd"),
+        (F.sum("lengths") / F.sum("with_length")).alias("average_length"),
     )
+    average = F.coalesce("odd", _exact_mean("limbs", "numbers")).alias("average")
+    stats = united.select(
+        "ordinal", *added, "min_value", "max_value", "lowest", "highest", average,
+        "mode_frequency", "anti_mode_frequency", "min_length", "max_length", "average_length",
+    )
     names = df.sparkSession.createDataFrame(
         [(i, f.name, f.dataType.simpleString(), _scale(f.dataType)) for i, f in enumerate(fields, 1)],
         "ordinal_position int, column_name string, data_type string, scale int",

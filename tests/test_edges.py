@@ -1,6 +1,7 @@
 """Boundary days, nulls, ties and empty inputs."""
 
 import datetime as dt
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -298,6 +299,32 @@ def test_profile_nulls_and_blanks(spark):
     assert z["average"] is None and z["data_type"] == "int"
 
 
+@pytest.mark.parametrize(
+    "values",
+    [
+        [0.1, 0.2, 0.3, 1e16, -1e16, 3.3, 1e-300, 5e-324, 123456.789, -0.7],
+        [1e308, 1e308, -1e308, 1.7976931348623157e308, 1.0, 2.5, 0.0, -0.0, 7e-5, 9e200],
+        [2.0**k for k in range(-1074, 1000, 231)] + [float(2**53 + 2)],
+    ],
+)
+def test_averages_do_not_depend_on_partitions(spark, values):
+    rows = [(v, i) for i, v in enumerate(values * 700)]
+    whole = spark.createDataFrame(rows, "v double, i int")
+    want = sum(map(Fraction, values)) / len(values)
+    for parts in (1, 7, 200):
+        shuffled = whole.repartition(parts, F.xxhash64("i"))
+        (got,) = profile_table(shuffled.select("v")).select("average").collect()
+        assert got["average"] == float(want)
+
+
+def test_averages_of_odd_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(nan, inf, None, 1), (1.0, 2.0, None, 2**62), (None, 3.0, None, 2**62)], "a double, b double, c double, d long")
+    a, b, c, d = (r["average"] for r in profile_table(df).orderBy("ordinal_position").collect())
+    assert a != a and b == inf and c is None
+    assert d == float(Fraction(2**63 + 1, 3))
+
+
 def test_profile_of_nothing(spark):
     df = spark.createDataFrame([], "a int, b string")
     a, b = profile_table(df).orderBy("ordinal_position").collect()

@@ -71,7 +71,8 @@ def test_full_rows_are_limited_before_the_shuffle(spark, sf_dir):
 
 def test_profile_takes_one_scan(spark, sf_dir):
     text = plan(profile_table(table(spark, sf_dir, "orders")))
-    assert text.count("FileScan") == 1 and shuffles(text) == 2
+    # By value, by column and limb of the exact sums, by column; the last two move a few rows a task.
+    assert text.count("FileScan") == 1 and shuffles(text) == 3
 
 
 def test_value_search_reads_only_searched_columns(spark, sf_dir):
