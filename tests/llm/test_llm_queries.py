@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
+import tiktoken
+from tiktoken.load import load_tiktoken_bpe
 from tokenizers import Tokenizer
 
 import brute
@@ -105,3 +109,65 @@ def test_conversation_repair(spark, sf_dir):
     assert Counter(map(tuple, got)) == Counter(want)
     # Deleting a row is cheaper than inserting one, so at these costs no audit holds an insertion.
     assert {c for w in want for c in w[7]} == set("DKR")
+
+
+def test_byte_bpe(spark, sf_dir):
+    ranks = load_tiktoken_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library, want = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), []
+    for key, text in documents(spark, sf_dir):
+        ids = library.encode_ordinary(text or "")
+        packed = np.array(ids, "<u4").tobytes()
+        want.append((key, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    got = REGISTRY.queries["op3_byte_bpe"](spark, sf_dir).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_best_fit_packing(spark, sf_dir):
+    library, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
+    for key, text in documents(spark, sf_dir):
+        ids, start = library.encode(text or "", add_special_tokens=False).ids + [2], 0
+        for piece, length in enumerate(packing.piece_lengths(len(ids), LENGTH)):
+            want.append((key, piece, start, length, zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())))
+            start += length
+    got = REGISTRY.queries["op5_best_fit_packing"](spark, sf_dir).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == Counter(want)
+    bins: dict[int, list] = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= LENGTH
+    total = sum(w[3] for w in want)
+    assert len(bins) <= 1.02 * -(-total // LENGTH) + 1
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row int, class string"
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_pipeline_stages_with_odd_rows(spark, sf_dir, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    long = " ".join(f"word{i}" for i in range(30_000))
+    good = " ".join(f"plain{i % 97} text{i % 89}" for i in range(60))
+    rows = [(1, None, None, None, None, 1, "x"), (2, "", "en", "s", 0, 1, "x"), (None, good, None, None, None, None, None), (3, long, "en", "s", 1, 1, "x")]
+    rows += [(4, good, "en", "s", 1, 1, "x")] * 2
+    out = stage(spark, spark.createDataFrame(rows, ODD), sf_dir)
+    kept = {r["doc_id"] for r in out.collect()}
+    none = stage(spark, spark.createDataFrame([], ODD), sf_dir)
+    assert none.count() == 0 and none.columns == out.columns
+    if name == "best_fit_packing":
+        assert kept == {1, 2, 3, 4, None}
+    else:
+        assert out.columns == [c.split()[0] for c in ODD.split(", ")]
+        assert 3 in kept
+    if name == "near_dedup":
+        # Copies are one document, whatever their keys; documents without words are not copies of each other.
+        assert kept == {1, 2, 3, 4}
+
+
+def test_pipeline_on_nothing(spark, tmp_path):
+    spark.createDataFrame([], ODD).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
