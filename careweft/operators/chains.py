@@ -89,7 +89,20 @@ def _starts(rows: Column, count: str) -> Column:
                 lambda at, bit: F.when(F.bit_get(m, bit) == 1, F.get(F.get(jumps, bit), at.cast("int"))).otherwise(at),
             )
 
-        return F.filter(F.transform(F.sequence(F.lit(0), n - 1), nth), lambda at: at < n)
+        # The number of the last start: the longest way of doubled jumps that stays inside.
+        last = F.aggregate(
+            F.sequence(levels, F.lit(0), F.lit(-1)),
+            F.struct(F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("at")),
+            lambda way, bit: F.when(
+                F.get(F.get(jumps, bit), way["at"].cast("int")) < n,
+                F.struct(
+                    (way["m"] + F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("m"),
+                    F.get(F.get(jumps, bit), way["at"].cast("int")).alias("at"),
+                ),
+            ).otherwise(way),
+            lambda way: way["m"],
+        )
+        return F.transform(F.sequence(F.lit(0).cast("long"), last), nth)
 
     all_jumps = F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), F.array(after), doubled)
     # An array of one binds the jumps; an optimiser would put their expression where they are used.

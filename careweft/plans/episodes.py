@@ -302,13 +302,20 @@ def episodes_only(
     floor: int = HOT_ROWS,
     chunk_rows: int = CHUNK_ROWS,
     hot: HotKeys | None | object = AUTO,
+    dates: bool = True,
 ) -> DataFrame:
     """One row per episode from the rows of `build_episodes`, with the end of
-    the stay and a 1/0 flag on its last episode."""
+    the stay and a 1/0 flag on its last episode. `dates`: with all service dates of the
+    episode, which have to be gathered from its rows."""
     last = F.struct(F.col("stay_pos"), F.col(columns.thru_dt).alias("thru_dt"))
     ends = OrderedKeys(
         rows, [columns.key, "stay_id"], [F.col("stay_pos").desc()], floor, chunk_rows, hot
     ).running(latest={"_last": last})
+    stay_end = (F.col("_last.stay_pos") == F.col("stay_pos")).cast("int")
+    if not dates:
+        closed = ends.frame.filter(F.col("epsd_end") == 1)
+        closed = closed.withColumns({"stay_end": stay_end, "stay_end_dt": F.col("_last.thru_dt")})
+        return closed.drop("_last", "epsd_dates", "epsd_dates_end")
     # The last row of each episode and the text of all its dates, in one pass.
     last_row = F.max_by(F.struct(*[F.col(c) for c in ends.frame.columns]), F.col("epsd_seq"))
     episode = [columns.key, "stay_id", "stay_seq"]
@@ -317,8 +324,7 @@ def episodes_only(
     )
     return (
         closed.select("_end.*", _dates_text(F.col("_dates")).alias("epsd_service_dates"))
-        .withColumn("stay_end", (F.col("_last.stay_pos") == F.col("stay_pos")).cast("int"))
-        .withColumn("stay_end_dt", F.col("_last.thru_dt"))
+        .withColumns({"stay_end": stay_end, "stay_end_dt": F.col("_last.thru_dt")})
         .drop("_last", "epsd_dates", "epsd_dates_end")
     )
 
@@ -332,6 +338,7 @@ def episode_table(
     chain_floor: int = CHAIN_ROWS,
     chunk_rows: int = CHUNK_ROWS,
     large: HotKeys | None | object = AUTO,
+    dates: bool = True,
 ) -> DataFrame:
     """Claims to one row per episode. Large keys are looked for once, in the
     claims, and not again in what is computed from them."""
@@ -339,7 +346,7 @@ def episode_table(
     rows = _episode_rows(df, columns, limit, gap, floor, chain_floor, chunk_rows, large)
     if large is not None:
         rows = cut_lineage(rows)
-    return episodes_only(rows, columns, floor, chunk_rows, None if large is None else AUTO)
+    return episodes_only(rows, columns, floor, chunk_rows, None if large is None else AUTO, dates)
 
 
 def first_row_values(

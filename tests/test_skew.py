@@ -282,6 +282,8 @@ def test_episodes_only(spark, claims):
     for floor in (NEVER, FLOOR):
         table = ep.episode_table(claims, floor=floor, chain_floor=floor, chunk_rows=CHUNK)
         assert rows_of(table) == want
+        plain = ep.episode_table(claims, floor=floor, chain_floor=floor, chunk_rows=CHUNK, dates=False)
+        assert rows_of(plain) == rows_of(table.drop("epsd_service_dates"))
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
