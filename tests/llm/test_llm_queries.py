@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import brute
 import corpus_pipeline
-from careweft.llm import near, packing
+from careweft.llm import licenses, near, packing
 from careweft.llm.queries import REGISTRY
 
 LENGTH = 1024
@@ -171,3 +171,16 @@ def test_pipeline_stages_with_odd_rows(spark, sf_dir, name):
 def test_pipeline_on_nothing(spark, tmp_path):
     spark.createDataFrame([], ODD).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_license_scan(spark, sf_dir):
+    """The given documents hold notices as whole lines; they are found by plain search."""
+    known = {n: f for f, texts in licenses.NOTICES.items() for n in texts}
+    want = []
+    for key, text in documents(spark, sf_dir):
+        lines = [x for x in (text or "").split("\n") if x.strip(" \t\x0b\x0c\r")]
+        found = [known[x] for x in lines if x in known]
+        want.append((key, len(lines), len(found), ",".join(sorted(set(found)))))
+    got = REGISTRY.queries["op9_license_scan"](spark, sf_dir).select("doc_id", "n_paragraphs", "n_confirmed", "families")
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    assert any(f for *_, f in want)

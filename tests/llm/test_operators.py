@@ -445,6 +445,48 @@ def test_licenses_without_triggers_and_wrapped(spark, docs):
     assert {r.doc_id: (r.families, r.n_confirmed) for r in licenses.scan(df, model).collect()} == {k: (f, n) for k, (_, f, n) in texts.items()}
 
 
+def test_licenses_of_any_number_of_lines(spark, docs):
+    """A notice a word a line, two wrapped ones without a blank line between, one inside a long line, and control characters."""
+    model = licenses.Model(licenses._training_rows(docs, spark))
+    rng = random.Random(22)
+    gpl, bsd, cc0 = licenses.NOTICES["GPL"][1], licenses.NOTICES["BSD"][1], licenses.NOTICES["CC0"][0]
+
+    def wrap(text, n):
+        w = text.split()
+        return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+    long = sentence(rng, 30000)
+    texts = {
+        1: (wrap(gpl, 1), "GPL"),
+        2: (wrap(gpl, 3) + "\n" + wrap(bsd, 2), "BSD,GPL"),
+        3: (long + ". " + cc0 + " " + long, "CC0"),
+        4: (licenses.BREAK + wrap(cc0, 4).replace("\n", licenses.BREAK + "\n"), "CC0"),
+        5: (wrap(long, 4), ""),
+        6: ("\n".join([*licenses.PLAIN, "Licensed under CC BY-ND 4.0.", "An Apache helicopter, version 2.0."]), ""),
+    }
+    df = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()] * 2, "doc_id long, text string")
+    got = Counter((r.doc_id, r.families) for r in licenses.scan(df, model).collect())
+    assert got == Counter({(k, f): 2 for k, (_, f) in texts.items()})
+
+
+def test_license_clues():
+    for notice in (n for texts in licenses.NOTICES.values() for n in texts):
+        w = licenses._cut(notice)
+        pairs = {" ".join(p) for p in zip(w, w[1:], strict=False)}
+        assert len(pairs - set(licenses.CLUES)) < licenses.CONTAINED * len(pairs)
+
+
+def test_licenses_left_out(spark, docs, monkeypatch):
+    """A notice of each family that training has not seen is never confirmed as another family."""
+    full = licenses.NOTICES
+    out = {f: texts[-1] for f, texts in full.items()}
+    monkeypatch.setattr(licenses, "NOTICES", {f: texts[:-1] for f, texts in full.items()})
+    model = licenses.Model(licenses._training_rows(docs, spark))
+    judged = {r.line: r for r in licenses.classify(spark.createDataFrame([(n,) for n in out.values()], "line string"), model).collect()}
+    confirmed = {f: judged[n].family for f, n in out.items() if judged[n].confirmed}
+    assert confirmed and all(f == family for f, family in confirmed.items())
+
+
 def test_runs_equal_to_looking_at_every_period():
     rng = random.Random(5)
     for _ in range(150):
