@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import public_tokenizers
@@ -29,6 +31,18 @@ def rows(spark, sf_dir, name):
     return Counter(map(tuple, REGISTRY.queries[name](spark, sf_dir).collect()))
 
 
+def test_html_text(spark, sf_dir):
+    """The given pages hold one article each, of headings and paragraphs without boilerplate."""
+    want = Counter()
+    for page_id, url, page in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect():
+        article = re.search(r"<article[^>]*>(.*)</article>", page or "", re.S)
+        blocks = re.split(r"</?(?:h1|p)[^>]*>", article[1]) if article else []
+        texts = [" ".join(unescape(re.sub(r"<br[^>]*>", " ", block).replace("<b>", "").replace("</b>", "")).split()) for block in blocks]
+        text = "\n\n".join(t for t in texts if t)
+        want[page_id, url, text, len(text)] += 1
+    assert rows(spark, sf_dir, "op7_html_text") == want
+
+
 def test_near_duplicates(spark, sf_dir):
     assert rows(spark, sf_dir, "op10_near_duplicates") == Counter(brute.near_components(documents(spark, sf_dir)))
 

@@ -279,17 +279,38 @@ def test_html_cases(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
-def test_html_windows_run_inside_bodies():
+def test_html_ends_decide(monkeypatch):
     text = "word " * 40
     page = f"<body><article><h1>Head</h1><p>{text}<p>{text}<p>End.</article><article>more</article><div>about</div></body>"
-    lines = html.lines_of(page)
-    inside = [line for line in lines if line.body]
-    assert len(inside) == 5 and html.text_ends(inside) == (0, 4)
+    assert html.text_ends(html.lines_of(page)) == (0, 4)
     assert html.main_text(page) == f"Head\n\n{text.strip()}\n\n{text.strip()}\n\nEnd."
-    # The check: a part of the article that does not surge is not cut off.
+    # A part of the article that does not surge is not cut off.
     parts = f"<article><section><p>{text}<p>{text}</section><section>End.</section></article><div>about</div>"
-    assert html.text_ends(html.lines_of(parts)) == (0, 2)
-    assert html.main_text(parts) == f"{text.strip()}\n\n{text.strip()}\n\nEnd."
+    assert html.text_ends(html.lines_of(parts)) == (0, 3)
+    long_list = f"<article><p>{text}</p><ul>{'<li>one</li>' * 30}</ul><p>End.</p></article><div>about</div>"
+    assert html.text_ends(html.lines_of(long_list)) == (0, 32)
+    monkeypatch.setattr(html, "text_ends", lambda lines: (1, 2))
+    assert html.main_text(page) == text.strip()
+
+
+def test_html_pages_without_bodies():
+    text = ("word " * 40).strip()
+    flat = f"<body><div>Home</div><div>About us</div><h1>Title</h1>{f'<p>{text}</p>' * 6}<div>Copyright</div><div>Terms</div></body>"
+    assert html.main_text(flat).split("\n\n") == ["Title", *[text] * 6]
+    menu = f"<body><ul><li><a href=x>Menu one</a><li><a href=y>Two</a></ul><p>{text}<p>{text} <a href=w>with a link</a><p>End.<p><a href=z>more</a></body>"
+    assert html.main_text(menu).split("\n\n") == [text, f"{text} with a link", "End."]
+    lead = f"<body><div>Home</div><p>{text}</p><main><p>{text}<p>End.</main><div>about</div></body>"
+    assert html.main_text(lead).split("\n\n") == [text, text, "End."]
+    assert html.main_text("<p><a href=x>only</a><p><a href=y>links</a>") == "only\n\nlinks"
+    # A link that is never closed ends with its line.
+    assert html.main_text(f"<div><p><a href=x>{text}<p>{text}</div>").endswith(text)
+
+
+def test_html_names_inside_articles():
+    page = """<div class="header">Top</div><article><header><h1>Title</h1></header><h2 class="section-header">Results</h2><p>It was <span class="comment">noted</span>.
+      <p class="share">x<div class="alert alert-info">info</div><div class="ad-box">buy</div><p class="ad">buy<p hidden>no
+      <div class="comments"><p>nice</p></div><footer>foot</footer></article>"""
+    assert html.main_text(page) == "Title\n\nResults\n\nIt was noted.\n\nx\n\ninfo"
 
 
 def test_html_neighbours_and_optional_end_tags():
