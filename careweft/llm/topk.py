@@ -1,12 +1,14 @@
 """Exact top-k inner products with a vector-approximation file.
 
-Vectors are stored in blocks of rows: the exact integers beside their cells, `2**bits` equal
-intervals per dimension between the dimension's least and greatest value in the block. A
-task takes one block of queries and one of candidates. Products of queries with cell centres
-are exact products up to an error bound that depends on the query and the cell width; a
-candidate whose upper bound is below the k-th best lower bound is out. The others are
-read exactly in falling order of their upper bounds until the k-th result beats every bound that is
-left. Each pair of blocks gives k rows a query at most, and the best k of them are kept.
+Vectors are stored in blocks of rows. A block of candidates is an approximation file: the cell of every component, one of
+`2**bits` equal intervals between the dimension's least and greatest value in the block, a byte each, with where the cells of each
+dimension start and how wide they are; the exact integers stand beside it. It is made once per block, before blocks meet. A
+task takes one block of queries and one of candidates and scans the cells alone: their products with the queries, in single
+precision, give each exact product up to an error bound that depends on the query, the cell widths and the rounding.
+(A lookup table of partial products per dimension gives the same sums by some fifty times as many memory accesses in numpy.) A
+candidate whose upper bound is below the k-th best lower bound is out. Of the others
+exact rows are read in falling order of their upper bounds until the k-th result beats every bound that is
+left; `reads` tells how many. Each pair of blocks gives k rows a query at most, and the best k of them are kept.
 
 The query set is stated (a divisor of the ids), so blocks of it meet all blocks of
 candidates. Blocks are bounded (`QUERY_ROWS`, `CANDIDATE_ROWS`) and meet by explicit group
@@ -22,6 +24,7 @@ no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +53,41 @@ def narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(next(t for t in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
 
 
-def blocks(vectors: DataFrame, rows_per_block: int, name: str) -> DataFrame:
-    """Rows (dims, ids, matrix, its type): blocks of vectors of equal length as bytes."""
+class Cells(NamedTuple):
+    """The approximation of a block: cell numbers, and per dimension start and width."""
+
+    number: np.ndarray
+    low: np.ndarray
+    width: np.ndarray
+
+    @classmethod
+    def of(cls, exact: np.ndarray, bits: int = CELL_BITS) -> Cells:
+        low, high = exact.min(axis=0).astype("f8"), exact.max(axis=0).astype("f8")
+        width = (high - low) / (1 << bits)
+        inner = np.where(width > 0, width, 1)
+        return cls(np.minimum((exact - low) / inner, (1 << bits) - 1).astype("u1"), low, width)
+
+    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Products with the cell centres (candidates x queries), and how far the exact
+        product of each query can be from them."""
+        queries = queries.astype("f8")
+        size, most = np.abs(queries), float(self.number.max(initial=0))
+        steps, base = queries * self.width, queries @ (self.low + self.width / 2)
+        reach = most * np.abs(steps).sum(axis=1)
+        kind = "f4" if reach.max(initial=0) < 1e37 else "f8"
+        products = (self.number.astype(kind) @ steps.astype(kind).T).astype("f8") + base
+        rounding = 2 * (self.number.shape[1] + 2) * float(np.finfo(kind).eps) * reach
+        centres = np.maximum(np.abs(self.low), np.abs(self.low + self.width * (most + 1)))
+        return products, size @ (self.width / 2) + rounding + 1e-9 * (size @ centres) + 1e-6
+
+
+CELL_FIELDS = {"candidate_cells": pa.binary(), "candidate_low": pa.binary(), "candidate_width": pa.binary()}
+
+
+def blocks(vectors: DataFrame, rows_per_block: int, name: str, approximate: bool = False) -> DataFrame:
+    """Rows (dims, ids, matrix, its type): blocks of vectors of equal length as bytes, with their cells on request."""
+    fields = {"dims": pa.int32(), f"{name}_ids": pa.binary(), f"{name}_rows": pa.binary(), f"{name}_type": pa.string()}
+    fields |= CELL_FIELDS if approximate else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,35 +99,12 @@ def blocks(vectors: DataFrame, rows_per_block: int, name: str) -> DataFrame:
                 for i in range(0, len(at), rows_per_block):
                     part = at[i : i + rows_per_block]
                     matrix = narrow(values[(ends[part] - dims)[:, None] + np.arange(dims)])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([int(dims)], pa.int32()),
-                            pa.array([ids[part].astype("<i8").tobytes()], pa.binary()),
-                            pa.array([matrix.tobytes()], pa.binary()),
-                            pa.array([matrix.dtype.str], pa.string()),
-                        ],
-                        names=["dims", f"{name}_ids", f"{name}_rows", f"{name}_type"],
-                    )
-
-    return vectors.mapInArrow(run, f"dims int, {name}_ids binary, {name}_rows binary, {name}_type string")
+                    row = [int(dims), ids[part].astype("<i8").tobytes(), matrix.tobytes(), matrix.dtype.str]
+                    row += [x.tobytes() for x in Cells.of(matrix)] if approximate else []
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, fields.values(), strict=True)], names=list(fields))
 
-
-class Cells:
-    """The approximation of a block: cell numbers, and per dimension start and width."""
-
-    def __init__(self, exact: np.ndarray, bits: int = CELL_BITS):
-        low, high = exact.min(axis=0).astype("f8"), exact.max(axis=0).astype("f8")
-        self.low, self.width = low, (high - low) / (1 << bits)
-        inner = np.where(self.width > 0, self.width, 1)
-        self.number = np.minimum((exact - low) / inner, (1 << bits) - 1).astype("u1")
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Products with the cell centres (candidates x queries), and how far the exact
-        product of each query can be from them."""
-        centres = self.low + (self.number + 0.5) * self.width
-        error = np.abs(queries) @ (self.width / 2)
-        slack = 1e-9 * (np.abs(queries) @ np.abs(centres).max(axis=0)) + 1e-6
-        return centres @ queries.T, error + slack
+    kinds = {pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
+    return vectors.mapInArrow(run, ", ".join(f"{c} {kinds[t]}" for c, t in fields.items()))
 
 
 def exact_products(candidates: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -102,9 +115,11 @@ def exact_products(candidates: np.ndarray, query: np.ndarray) -> np.ndarray:
     return candidates @ query
 
 
-def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, exact: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(place of the query, id, score) of the k best candidates of this block for each query."""
-    products, error = Cells(exact).bounds(queries.astype("f8"))
+def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, exact: np.ndarray, cells: Cells, k: int) -> tuple[np.ndarray, ...]:
+    """(place of the query, id, score) of the k best candidates of this block for each query, and how many exact rows
+    each query has read."""
+    products, error = cells.bounds(queries)
+    n_read = np.zeros(len(query_ids), "i8")
     at, found_ids, found = [], [], []
     for q in range(len(query_ids)):
         centre = products[:, q]
@@ -116,22 +131,22 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, exact: n
         scores, certain = np.zeros(0, "i8"), 0
         while certain < len(left):
             part = left[certain : certain + max(CHUNK, k)]
-            scores = np.concatenate([scores, exact_products(exact[part], queries[q])])
+            scores = np.concatenate([scores, exact_products(exact[part].astype("i8"), queries[q])])
             certain += len(part)
             if len(scores) >= k and certain < len(left):
                 kth = np.partition(scores, len(scores) - k)[len(scores) - k]
                 if kth > centre[left[certain]] + error[q]:
                     break
+        n_read[q] = len(scores)
         best = np.lexsort((ids[left[: len(scores)]], -scores))[:k]
         at.append(np.full(len(best), q))
         found_ids.append(ids[left[best]])
         found.append(scores[best])
-    return tuple(np.concatenate(x) if x else np.zeros(0, "i8") for x in (at, found_ids, found))
+    return *(np.concatenate(x) if x else np.zeros(0, "i8") for x in (at, found_ids, found)), n_read
 
 
-def top_k(rows: DataFrame, divisor: int, k: int, scale: int) -> DataFrame:
-    """`query_id`, `rank`, `vec_id`, `score` for the rows whose `vec_id` is divisible by
-    `divisor`, against all rows but those of their own id, vectors of equal length only."""
+def block_pairs(rows: DataFrame, divisor: int, scale: int) -> DataFrame:
+    """Every block of queries beside every block of candidates of the same length."""
     vectors = scaled(rows, scale)
     is_query = F.pmod("vec_id", F.lit(divisor)) == 0
     sizes = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(is_query).alias("queries")).first()
@@ -143,20 +158,44 @@ def top_k(rows: DataFrame, divisor: int, k: int, scale: int) -> DataFrame:
 
     queries = blocks(vectors.filter(is_query), QUERY_ROWS, "query")
     queries = queries.withColumn("query_group", F.pmod(F.xxhash64("query_ids"), F.lit(query_groups))).withColumn("group", numbers(groups))
-    candidates = blocks(vectors, CANDIDATE_ROWS, "candidate")
+    candidates = blocks(vectors, CANDIDATE_ROWS, "candidate", approximate=True)
     candidates = candidates.withColumn("group", F.pmod(F.xxhash64("candidate_ids"), F.lit(groups))).withColumn("query_group", numbers(query_groups))
     casts = {"group": F.col("group").cast("int"), "query_group": F.col("query_group").cast("int")}
-    pairs = candidates.withColumns(casts).repartition(tasks, *keys).join(queries.withColumns(casts).repartition(tasks, *keys), keys)
+    return candidates.withColumns(casts).repartition(tasks, *keys).join(queries.withColumns(casts).repartition(tasks, *keys), keys)
+
+
+def search_blocks(row: dict, k: int) -> tuple[np.ndarray, ...]:
+    """Of a pair of blocks: the ids of its queries, how many candidates it has, and what `search` gives."""
+    ids, query_ids = (np.frombuffer(row[c], "<i8") for c in ("candidate_ids", "query_ids"))
+    exact, queries = (np.frombuffer(row[f"{c}_rows"], row[f"{c}_type"]).reshape(-1, row["dims"]) for c in ("candidate", "query"))
+    cells = Cells(np.frombuffer(row["candidate_cells"], "u1").reshape(exact.shape), *(np.frombuffer(row[f"candidate_{c}"], "f8") for c in ("low", "width")))
+    return query_ids, len(ids), *search(query_ids, queries.astype("i8"), ids, exact, cells, k)
+
+
+def reads(rows: DataFrame, divisor: int, k: int, scale: int) -> DataFrame:
+    """`query_id`, `n_candidates`, `n_read`: over all blocks, rows scanned by their cells and exact rows read of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                query_ids, n, *_, n_read = search_blocks(row, k)
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(np.full(len(query_ids), n)), pa.array(n_read)], names=["query_id", "n", "read"])
+
+    each = block_pairs(rows, divisor, scale).mapInArrow(run, "query_id long, n long, read long")
+    return each.groupBy("query_id").agg(F.sum("n").alias("n_candidates"), F.sum("read").alias("n_read"))
+
+
+def top_k(rows: DataFrame, divisor: int, k: int, scale: int) -> DataFrame:
+    """`query_id`, `rank`, `vec_id`, `score` for the rows whose `vec_id` is divisible by
+    `divisor`, against all rows but those of their own id, vectors of equal length only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, query_ids = (np.frombuffer(row[c], "<i8") for c in ("candidate_ids", "query_ids"))
-                exact, wanted = (np.frombuffer(row[f"{c}_rows"], row[f"{c}_type"]).reshape(-1, row["dims"]).astype("i8") for c in ("candidate", "query"))
-                at, found_ids, scores = search(query_ids, wanted, ids, exact, k)
+                query_ids, _, at, found_ids, scores, _ = search_blocks(row, k)
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[at]), pa.array(found_ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = block_pairs(rows, divisor, scale).mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -186,10 +186,38 @@ def test_top_k_keeps_rows_of_one_id(spark):
 def test_top_k_with_ties_and_small_blocks(monkeypatch):
     ids = np.arange(500)
     exact = np.tile([1, 2, 3, 4], (500, 1))
-    at, found, scores = topk.search(ids[:3], exact[:3], ids, exact, 20)
+    at, found, scores, _ = topk.search(ids[:3], exact[:3], ids, exact, topk.Cells.of(exact), 20)
     assert found[at == 0].tolist() == list(range(1, 21)) and set(scores) == {30}
 
 
+def test_top_k_bounds_hold():
+    rng = np.random.default_rng(3)
+    for scale in (1, 40, 10**4, 10**8):
+        exact = (rng.normal(size=(400, 48)) * scale).astype("i8")
+        exact[:, 5] = 7
+        queries = (rng.normal(size=(9, 48)) * scale).astype("i8")
+        products, error = topk.Cells.of(exact).bounds(queries)
+        true = exact.astype(object) @ queries.T.astype(object)
+        assert all(abs(float(true[i, q]) - products[i, q]) <= error[q] for i in range(400) for q in range(9))
+
+
+def test_top_k_reads_few_exact_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 500)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 16))
+    values = centres[rng.integers(20, size=4000)] + 0.1 * rng.normal(size=(4000, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(values)], "vec_id long, embedding array<double>")
+    got = topk.reads(df, 200, 20, 64).collect()
+    assert len(got) == 20 and {r.n_candidates for r in got} == {4000}
+    assert 20 <= min(r.n_read for r in got) and sum(r.n_read for r in got) < 0.5 * 20 * 4000
+    whole = np.floor(values * 64).astype("i8")
+    want = []
+    for q in range(0, 4000, 200):
+        order = sorted((int(-(whole[q] @ whole[i])), i) for i in range(4000) if i != q)[:20]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(order)]
+    same(topk.top_k(df, 200, 20, 64), want)
+
+
 def test_packing(docs, none):
     library = Tokenizer.from_file(TOKENIZER)
     rows = packing.pack_documents(docs, TOKENIZER, 2, 64).collect()
