@@ -5,7 +5,7 @@ Vectors are stored in blocks of rows. A block of candidates is an approximation
 dimension start and how wide they are; the exact integers stand beside it. It is made once per block, before blocks meet. A
 task takes one block of queries and one of candidates and scans the cells alone: their products with the queries, in single
 precision, give each exact product up to an error bound that depends on the query, the cell widths and the rounding.
-(A lookup table of partial products per dimension gives the same sums by some fifty times as many memory accesses in numpy.) A
+(A lookup table of partial products per dimension would give the same sums.) A
 candidate whose upper bound is below the k-th best lower bound is out. Of the others
 exact rows are read in falling order of their upper bounds until the k-th result beats every bound that is
 left; `reads` tells how many. Each pair of blocks gives k rows a query at most, and the best k of them are kept.
