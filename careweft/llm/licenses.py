@@ -10,13 +10,18 @@ least probability for a family and `left_out_notices` come from `FOLDS` fits tha
 `held_out_accuracy` is that of every fifth row, where other rows of the same notice were seen.
 
 A prediction stands if the unit names no other family (`NAMES`) and either holds `CONTAINED` or more of the two-grams of one notice
-of the family, or names the family and has `CONTAINED` or more of its own two-grams in notices.
+of the family, or, runs excepted, names the family and has `CONTAINED` or more of its own two-grams in notices.
 
-Candidates: each text is cut into words once, and texts without a word of a notice two-gram are done (`CLUES`: two-grams of
-notices with a word that is not common). In the others, lines that hold a clue, alone or across the line's end, and their neighbours
-make passages; blank lines end them; a passage may have any number of lines. Units are the lines of a passage that hold a clue, its sentences
-and the whole passage. Passages are staged once, so rows keep their numbers. Of each notice more than 1 - `CONTAINED` of the two-grams
-are clues (a test checks it), so a text without a clue cannot be confirmed.
+Every line of every text is judged. A bound is taken of each: the sum, over the buckets of its grams, of the largest lead that
+any family has there over unknown text. Lines whose bound is below what the least probability needs are predicted for no family whatever
+their sums are (`likely`); the others are scored in full.
+
+Passages: lines that hold a clue, alone or across the line's end, and the lines around them, up to the first blank one, with at most `REACH`
+words between; a passage may have any number of lines. Clues are two-grams of notices with a word that is not common, and
+names of families. Units are the lines of a passage, its sentences that hold a clue, its runs (words between clues that are at most
+`REACH` words apart, wherever lines and sentences end) and the whole passage. Of each notice more than 1 - `CONTAINED` of the two-grams
+are clues and at most `REACH` words are between two (a test checks it), and a family's name is one, so a unit without a clue
+cannot be confirmed, and no line length cuts a notice. Passages are staged once, so rows keep their numbers.
 
 Equal units are scored once. The weights (`BUCKETS` rows at most) and
 the grams of the notices are the only things sent to all executors. Scanning uses built-in
@@ -30,6 +35,7 @@ and keys are scanned one by one; an empty table gives no rows; extra columns are
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Callable
 
@@ -44,6 +50,7 @@ UNKNOWN_ROWS = 2000
 SAMPLE_CHARS = 1000
 CONTAINED = 0.6
 FOLDS = 5
+REACH = 8
 NAME_WEIGHT = 10
 UNKNOWN = "unknown"
 
@@ -166,13 +173,15 @@ def _cut(text: str) -> list[str]:
 
 
 def clues() -> dict[str, str]:
-    """Two-grams of notices with a word that is not common, each with that word (the longer one of two)."""
+    """Two-grams of notices with a word that is not common, and those that name a family, each with that word (the longer one of two)."""
     pairs = {p for texts in NOTICES.values() for n in texts for p in zip(_cut(n), _cut(n)[1:], strict=False)}
+    pairs |= {tuple(n.split()) for texts in NAMES.values() for n in texts if " " in n}
     rare = {p: [w for w in p if w not in COMMON] for p in pairs}
     return {" ".join(p): max(found, key=len) for p, found in sorted(rare.items()) if found}
 
 
 CLUES = clues()
+NAME_WORDS = sorted(n for texts in NAMES.values() for n in texts if " " not in n)
 
 
 def words(text: Column) -> Column:
@@ -209,62 +218,107 @@ def notices(spark: SparkSession) -> DataFrame:
     return pairs.select("family", "notice", F.size("pairs").alias("size"), F.explode("pairs").alias("gram"))
 
 
+def _marks(w: Column) -> Column:
+    """Per word whether a clue starts there."""
+    return F.transform(w, lambda x, i: x.isin(*NAME_WORDS) | F.coalesce(F.concat_ws(" ", x, F.get(w, i + 1)).isin(*CLUES), F.lit(False)))
+
+
 def _has_clue(text: Column) -> Column:
-    return _bind(words(text), lambda w: F.exists(_pairs(w), lambda p: p.isin(*CLUES)))
+    return _bind(words(text), lambda w: F.exists(_marks(w), lambda m: m))
+
+
+def _steps(low: int, high: int) -> Column:
+    """Distances from `low` to `high`, small ones first. A slice of an array would copy the whole array."""
+    return F.array(*[F.lit(d) for d in sorted(range(low, high + 1), key=abs)])
+
+
+def _blank(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) == ""
 
 
-def _passages(text: Column) -> Column:
-    """The passages of a text: stretches of lines with clues and their neighbours."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.translate(x, BREAK, " "))
+def _near(lines: Column, cut: Column) -> Column:
+    """Per line whether it is in a passage. `cut` holds the words of each line."""
+    # A clue stands in one line or goes over to the next.
+    after = lambda i: F.slice(F.coalesce(F.get(cut, i + 1), F.array().cast("array<string>")), 1, 1)
+    hits = F.transform(cut, lambda w, i: _bind(F.concat(w, after(i)), lambda v: F.exists(_marks(v), lambda m: m)))
+    # A line without words counts as one, a blank line ends the passage.
+    counts = F.transform(lines, lambda x, i: F.when(_blank(x), REACH + 1).otherwise(F.size(F.get(cut, i))))
 
-    def marked(lines: Column) -> Column:
-        # A clue stands in one line or goes over to the next.
-        hits = F.transform(lines, lambda x, i: _has_clue(F.concat_ws(" ", x, F.get(lines, i + 1))))
+    def mark(hits: Column, counts: Column) -> Column:
+        def reached(i: Column, d: Column) -> Column:
+            passed = F.aggregate(_steps(1, REACH), F.lit(0), lambda a, e: a + F.when(e < F.abs(d), F.get(counts, i + e * F.sign(d).cast("int"))).otherwise(0))
+            return F.coalesce(F.get(hits, i + d), F.lit(False)) & (passed <= REACH)
 
-        def keep(hits: Column) -> Column:
-            near = lambda i: F.coalesce(F.get(hits, i - 1), F.lit(False)) | F.get(hits, i) | F.coalesce(F.get(hits, i + 1), F.lit(False))
-            return F.transform(lines, lambda x, i: F.when(near(i) & (F.btrim(x, F.lit(" \t\x0b\x0c\r")) != ""), x).otherwise(BREAK))
+        return F.transform(lines, lambda x, i: ~_blank(x) & F.exists(_steps(-REACH - 1, REACH + 1), lambda d: reached(i, d)))
 
-        return F.array_join(_bind(hits, keep), "\n")
+    return _bind(hits, lambda h: _bind(counts, lambda c: mark(h, c)))
 
-    stretches = F.transform(F.split(_bind(lines, marked), BREAK), lambda p: F.btrim(p, F.lit("\n")))
-    return F.filter(stretches, _has_clue)
 
+def _runs(text: Column) -> Column:
+    """The stretches of words of a passage from clue to clue, where at most `REACH` words are between."""
 
-def passages(docs: DataFrame) -> DataFrame:
-    """Per document its key, a row number, how many paragraphs (lines with a word) it has, its passages, and the line that may
-    be taken for unknown text. Staged: the numbers stay as they are."""
+    def kept(w: Column, marks: Column) -> Column:
+        def within(i: Column) -> Column:
+            marked = lambda d: F.coalesce(F.get(marks, i + d), F.lit(False))
+            return marked(0) | marked(-1) | (F.exists(_steps(-REACH - 1, -1), marked) & F.exists(_steps(0, REACH), marked))
+
+        return F.array_join(F.transform(w, lambda x, i: F.when(within(i), x).otherwise(BREAK)), " ")
+
+    joined = _bind(words(text), lambda w: _bind(_marks(w), lambda m: kept(w, m)))
+    return F.filter(F.transform(F.split(joined, BREAK), F.btrim), lambda r: r != "")
+
+
+def samples(docs: DataFrame) -> DataFrame:
+    """Of each document the line that may be taken for unknown text."""
+    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
+    short = F.filter(lines, lambda x: (F.length(x) <= SAMPLE_CHARS) & ~_blank(x))
+    return docs.select(F.array_min(F.transform(short, lambda x: F.struct(F.xxhash64(x, F.lit(1)).alias("h"), x.alias("line")))).alias("sample"))
+
+
+def passages(docs: DataFrame, model: Model) -> DataFrame:
+    """Per document its key, a row number, how many paragraphs (lines with a word) it has, its passages, and the lines
+    outside them that may be predicted for a family. Staged: the numbers stay as they are."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"))
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.regexp_like(x, F.lit(r"[^ \t\n\x0B\f\r]")))
-    suspected = F.exists(words(F.col("_text")), lambda w: w.isin(*sorted(set(CLUES.values()))))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.translate(x, BREAK, "\x01"))
+    cut = F.transform("lines", words)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines")).withColumn("cut", cut)
     # A clue in the whole text is needed for one in its lines; few texts have one, many have a word of one.
-    found = F.when(suspected & _has_clue(F.col("_text")), _passages(F.col("_text"))).otherwise(F.array().cast("array<string>"))
-    short = F.filter(lines, lambda x: F.length(x) <= SAMPLE_CHARS)
-    sample = F.array_min(F.transform(short, lambda x: F.struct(F.xxhash64(x, F.lit(1)).alias("h"), x.alias("line"))))
+    some = sorted({*CLUES.values(), *NAME_WORDS})
+    suspected = F.exists("cut", lambda w: F.exists(w, lambda x: x.isin(*some)))
+    clue = _bind(F.filter(F.flatten("cut"), lambda x: x != ""), lambda w: F.exists(_marks(w), lambda m: m))
+    none = F.array().cast("array<boolean>")
+    near = F.when(suspected & clue, _near(F.col("lines"), F.col("cut"))).otherwise(none)
+    rows = rows.select("row", "doc_id", "lines", near.alias("near"), F.transform("cut", model.likely).alias("likely"))
+    inside = lambda i: F.coalesce(F.get("near", i), F.lit(False))
+    marked = F.array_join(F.transform("lines", lambda x, i: F.when(inside(i), x).otherwise(BREAK)), "\n")
+    found = F.when(F.size("near") > 0, F.filter(F.transform(F.split(marked, BREAK), lambda p: F.btrim(p, F.lit("\n"))), lambda p: p != ""))
+    others = F.filter("lines", lambda x, i: F.get("likely", i) & ~inside(i) & ~_blank(x))
     return cut_lineage(
-        named.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", F.size(lines).cast("long").alias("n_paragraphs"),
-            found.alias("passages"), sample.alias("sample"),
+        rows.select(
+            "row", "doc_id", F.size(F.filter("lines", lambda x: ~_blank(x))).cast("long").alias("n_paragraphs"),
+            F.coalesce(found, F.array().cast("array<string>")).alias("passages"), others.alias("others"),
         )
     )
 
 
 def units(rows: DataFrame) -> DataFrame:
-    """(row, passage, line, single): what is scored of each passage. `single` are its lines."""
+    """(row, passage, line, single, run): what is scored of each passage. `single` are its lines, those outside any
+    passage in passage -1; `run` its runs."""
     each = rows.select("row", F.posexplode("passages").alias("passage", "_text"))
-    lines = F.filter(F.split("_text", "\n"), _has_clue)
     whole = F.regexp_replace("_text", r"\s*\n\s*", " ")
-    others = F.filter(F.array_distinct(F.concat(F.split(whole, r"(?<=[.!?;])\s+"), F.array(whole))), _has_clue)
-    named = F.concat(F.transform(lines, lambda x: F.struct(x.alias("line"), F.lit(True).alias("single"))), F.transform(others, lambda x: F.struct(x.alias("line"), F.lit(False).alias("single"))))
-    return each.select("row", "passage", F.explode(named).alias("u")).select("row", "passage", "u.*")
+    sentences = F.filter(F.split(whole, r"(?<=[.!?;])\s+"), _has_clue)
+    several = F.array_distinct(F.concat(sentences, F.array(whole)))
+    as_units = lambda c, single, run: F.transform(c, lambda x: F.struct(x.alias("line"), F.lit(single).alias("single"), F.lit(run).alias("run")))
+    named = F.concat(as_units(F.split("_text", "\n"), True, False), as_units(several, False, False), as_units(_runs(F.col("_text")), False, True))
+    inside = each.select("row", "passage", F.explode(named).alias("u")).select("row", "passage", "u.*")
+    return inside.unionByName(rows.select("row", F.lit(-1).alias("passage"), F.explode("others").alias("line"), F.lit(True).alias("single"), F.lit(False).alias("run")))
 
 
 def _training_rows(rows: DataFrame, spark: SparkSession) -> list[tuple[str, list[int], int]]:
     """(family, buckets, fold): notices with every word left out once, and unknown text. All rows
     of a notice are in one fold; those of a family are dealt in turn."""
     if "sample" not in rows.columns:
-        rows = passages(rows)
+        rows = samples(rows)
     flat = [{"family": f, "line": n, "fold": i % FOLDS} for f, texts in [*NOTICES.items(), (UNKNOWN, PLAIN)] for i, n in enumerate(texts)]
     # Names are in no fold: each fit has seen them.
     flat += [{"family": f, "line": n, "fold": FOLDS} for f, texts in NAMES.items() for n in texts]
@@ -333,6 +387,16 @@ class Model:
         self.weights = np.zeros((BUCKETS, len(self.families)), "f4")
         self.weights[used] = weights * spread[:, None]
 
+    def likely(self, w: Column) -> Column:
+        """Whether a line of words `w` may reach the least probability in a family; true for all that do."""
+        # Rounded as in `table`. A family at the least probability leads unknown text by `need`.
+        scaled = np.where(np.abs(self.weights).max(axis=1, keepdims=True) > 1e-4, np.round(self.weights * self.scale, 4), 0)
+        lead = scaled[:, :-1].max(axis=1) - scaled[:, -1]
+        need = math.log(self.least / (1 - self.least)) - float((self.bias[:-1] - self.bias[-1]).max()) * self.scale - 1e-3
+        leads = F.split(F.lit(",".join(f"{v:.5f}" for v in lead)), ",").cast("array<double>")
+        buckets = F.array_distinct(F.transform(F.concat(w, _pairs(w)), bucket))
+        return _bind(buckets, lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(leads, x)) >= need * F.sqrt(F.size(b)))
+
     def table(self, spark: SparkSession) -> DataFrame:
         used = np.flatnonzero(np.abs(self.weights).max(axis=1) > 1e-4)
         values = [{"bucket": int(b), "w": [round(float(v) * self.scale, 4) for v in self.weights[b]]} for b in used]
@@ -345,7 +409,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def classify(lines: DataFrame, model: Model) -> DataFrame:
-    """`lines` (line), distinct, with `family` as predicted, `probability` and `confirmed`."""
+    """`lines` (line), distinct, with `family` as predicted, `probability`, `confirmed`, and `contained` (confirmed by one notice)."""
     spark, n = lines.sparkSession, len(model.families)
     parts = lines.withColumn("grams", grams(F.col("line")))
     ones = parts.select("line", F.size("grams").alias("size"), F.explode("grams").alias("gram")).select("line", "size", bucket(F.col("gram")).alias("bucket")).distinct()
@@ -368,20 +432,22 @@ def classify(lines: DataFrame, model: Model) -> DataFrame:
     joined = predicted.join(held, ["line", "family"], "left").join(facts, "line")
     sure = (F.col("family") != UNKNOWN) & (F.col("probability") >= model.least)
     alone = F.size(F.array_except("named", F.array("family"))) == 0
-    like = (F.coalesce("share", F.lit(0.0)) >= CONTAINED) | (F.array_contains("named", F.col("family")) & (F.col("own") >= CONTAINED))
-    return joined.select("line", "family", "probability", sure.alias("predicted"), (sure & alone & like).alias("confirmed"))
+    whole = F.coalesce("share", F.lit(0.0)) >= CONTAINED
+    like = whole | (F.array_contains("named", F.col("family")) & (F.col("own") >= CONTAINED))
+    return joined.select("line", "family", "probability", sure.alias("predicted"), (sure & alone & like).alias("confirmed"), (sure & alone & whole).alias("contained"))
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Per document: `doc_id`, `n_paragraphs`, `n_predicted`, `n_confirmed` (lines; and families that a passage shows over
-    several lines or within one, of which none of its lines is confirmed) and `families`, the
+    """Per document: `doc_id`, `n_paragraphs`, `n_predicted`, `n_confirmed` (lines, of all; and families that a passage shows over
+    several lines or within one, of which none of its lines is predicted or confirmed) and `families`, the
     confirmed ones in alphabetical order, joined by commas."""
     spark = docs.sparkSession
-    rows = passages(docs)
-    model = model or Model(_training_rows(rows, spark))
+    model = model or Model(_training_rows(docs, spark))
+    rows = passages(docs, model)
     found = cut_lineage(units(rows))
-    judged = classify(found.select("line").distinct(), model).filter("predicted").select("line", "family", "confirmed")
-    hits = found.join(judged, "line")
+    judged = classify(found.select("line").distinct(), model).filter("predicted").select("line", "family", "confirmed", "contained")
+    # A run is cut to clues, so what it has of its own says nothing.
+    hits = found.join(judged, "line").filter("contained or not run")
     # A row per passage and family.
     by_family = hits.groupBy("row", "passage", "family").agg(
         F.count_if("single").alias("lines"),

@@ -536,6 +536,53 @@ def test_licenses_left_out(spark, docs, monkeypatch):
     assert confirmed and all(f == family for f, family in confirmed.items())
 
 
+def test_licenses_wherever_lines_end(spark, docs):
+    """Notices inside a line without a stop, or with so few words a line that no clue is near, and names beside common words."""
+    model = licenses.Model(licenses._training_rows(docs, spark))
+    rng = random.Random(23)
+    plain, texts = (lambda n: sentence(rng, n, 5000)), []
+    lines = "\n".join(plain(12) for _ in range(4))
+    for family, notice in ((f, n) for f, found in licenses.NOTICES.items() for n in found):
+        texts.append((f"{plain(300)} {notice.rstrip('.')} {plain(300)}", family))
+        w = notice.split()
+        for n in (1, 3):
+            wrapped = "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+            texts.append((f"{lines}\n{wrapped}\n{lines}", family))
+    judged = licenses.classify(spark.createDataFrame([(n,) for found in licenses.NOTICES.values() for n in found], "line string"), model)
+    sure = sum(r.confirmed for r in judged.collect())
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licenses.scan(df.union(spark.createDataFrame([(-1, f"{plain(40)} what is the GPL {plain(40)}")])), model).collect()}
+    assert got.pop(-1) == ""
+    assert all(got[i] in ("", family) for i, (_, family) in enumerate(texts))
+    assert sum(map(bool, got.values())) >= 3 * sure
+
+
+def test_license_predictions_of_all_lines(spark, docs):
+    """No line is left unjudged for want of a clue."""
+    model = licenses.Model(licenses._training_rows(docs, spark))
+    rng = random.Random(24)
+    rare = ["GPL: you can use it under the terms of the", "GPL as published by the", "bsd", "cc0 1", "general license", "apache", "MIT", "", "***"]
+    lines = [*rare, *(" ".join(rng.sample(sorted({w for t in licenses.NOTICES.values() for n in t for w in licenses._cut(n)}), 4)) for _ in range(150))]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, line string")
+    judged = {r.line: r for r in licenses.classify(df.select("line").distinct(), model).collect()}
+    assert not any(licenses._cut(x) and judged[x].predicted and not r for x, r in df.select("line", model.likely(licenses.words(F.col("line")))).collect())
+    got = licenses.scan(df.withColumnRenamed("line", "text"), model).select("doc_id", "n_predicted", "n_confirmed").collect()
+    want = [(i, int(x != "" and judged[x].predicted), int(x != "" and judged[x].confirmed)) for i, x in enumerate(lines)]
+    assert [r for r in map(tuple, got) if r not in set(want)] == [] and len(got) == len(want)
+    assert sum(n for _, n, _ in want) > sum(n for *_, n in want) > 0
+
+
+def test_license_reach():
+    """A unit that can be confirmed holds a clue, and no line end cuts a notice."""
+    for notice in (n for texts in licenses.NOTICES.values() for n in texts):
+        w, gap, longest = licenses._cut(notice), 0, 0
+        for i, word in enumerate(w):
+            gap = 0 if word in licenses.NAME_WORDS or " ".join(w[i : i + 2]) in licenses.CLUES else gap + 1
+            longest = max(longest, gap)
+        assert longest <= licenses.REACH
+    assert all(n in licenses.NAME_WORDS or n in licenses.CLUES for texts in licenses.NAMES.values() for n in texts)
+
+
 def test_runs_equal_to_looking_at_every_period():
     rng = random.Random(5)
     for _ in range(150):
