@@ -11,8 +11,10 @@ copies cost one row each. Classes that share a band of `ROWS` coordinates are ca
 meets one centre, not all others; confirmed links give components. In buckets that still
 hold several components, classes go that cannot be similar enough to any other, because too few of
 their shingles occur in another open class. Then each class meets a centre of another
-component, chosen anew in each round; of what `ROUNDS` leave open, classes of different
-components in a bucket meet where their counts of shared shingles allow a link.
+component, chosen anew in each round. What `ROUNDS` leave open is compared in full: a bucket's classes are dealt to blocks, each
+two blocks meet in a task, which counts the common shingles of all their classes by a product of matrices and gives
+as many links as join components there. So the comparisons of such a bucket grow with the square of its open classes, the rows
+with these times the blocks, and no row is made for a pair that is no link.
 A link inside a component changes nothing, so none that matters is lost. Links are
 confirmed on the full shingle sets (64-bit hashes of shingles); a class that many others meet is
 copied to several tasks.
@@ -48,6 +50,8 @@ MISSED = 1e-6
 ROUNDS = 3
 MEMBERS_PER_TASK = 500
 SHINGLES_PER_CHUNK = 1 << 20
+CLASSES_PER_BLOCK, SHINGLES_PER_BLOCK = 512, 1 << 20
+COLUMNS, ENTRIES = 1024, 1 << 22
 
 
 def normal(text: str) -> bytes:
@@ -199,15 +203,14 @@ def _heads(members: DataFrame, order: Column) -> DataFrame:
 def _counted(texts: DataFrame) -> DataFrame:
     """Rows (shingle, name, shared): each `SHINGLES_PER_CHUNK` of a task are counted where they are.
     A shingle gives one row a chunk, however many classes have it: of `shared` -1 with its class if one has
-    it, 0 if several have. What a class shares inside the chunk is in rows of `shared` above 0."""
+    it, 0 if several have."""
 
     def chunk(h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(h, kind="stable")
         h, n = h[order], n[order]
         same = h[1:] == h[:-1]
-        first, twice = np.concatenate([[True], ~same]), np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        names, counts = np.unique(n[twice], return_counts=True)
-        columns = [np.concatenate([h[first], names]), np.concatenate([n[first], names]), np.concatenate([np.where(twice[first], 0, -1), counts]).astype("i8")]
+        first, again = np.concatenate([[True], ~same]), np.concatenate([same, [False]])
+        columns = [h[first], n[first], np.where(again[first], 0, -1)]
         for at in range(0, len(columns[0]), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], names=["shingle", "name", "shared"])
 
@@ -227,36 +230,146 @@ def _counted(texts: DataFrame) -> DataFrame:
     return texts.select(F.xxhash64("class").alias("name"), "packed").mapInArrow(run, "shingle long, name long, shared long")
 
 
-def shared_sizes(texts: DataFrame) -> DataFrame:
-    """(class, size, shared): how many shingles a class has, and how many of them any other
-    class of `texts` has too. Shingles pass their task in order, a row per chunk they were counted in."""
+def _lone(texts: DataFrame) -> DataFrame:
+    """Rows (name, own): shingles that one class alone has, counted by class and batch. Shingles pass their task in
+    order, a row per chunk they were counted in; each gives at most one row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A shingle met in one class so far waits with it; one met twice is remembered.
-        wait_h, wait_n, often = np.zeros(0, "i8"), np.zeros(0, "i8"), None
+        # The last shingle so far waits with its class, `alone` as long as one class has it.
+        last, name, alone = None, None, False
         for batch in batches:
-            h, n, shared = (batch.column(c).to_numpy() for c in ("shingle", "name", "shared"))
-            done = shared > 0
-            if done.any():
-                yield pa.RecordBatch.from_arrays([pa.array(n[done]), pa.array(shared[done])], names=["name", "shared"])
-            if done.all():
+            if not batch.num_rows:
                 continue
-            several = np.concatenate([np.zeros(len(wait_h), bool), shared[~done] == 0])
-            h, n = np.concatenate([wait_h, h[~done]]), np.concatenate([wait_n, n[~done]])
-            same = h[1:] == h[:-1]
-            twice = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | several
-            if often is not None:
-                twice |= h == often
-            alone = not twice[-1]
-            wait_h, wait_n = (h[-1:], n[-1:]) if alone else (h[:0], n[:0])
-            often = None if alone else h[-1]
-            names, counts = np.unique(n[twice & ~several], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts)], names=["name", "shared"])
-
-    dealt = _counted(texts).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(count, "name long, shared long")
-    sums = dealt.groupBy("name").agg(F.sum("shared").alias("shared"))
+            h, n, shared = (batch.column(c).to_numpy() for c in ("shingle", "name", "shared"))
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            single = (np.diff(np.append(starts, len(h))) == 1) & (shared[starts] < 0)
+            if h[0] == last:
+                single[0] = False
+            elif alone:
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([1], pa.int64())], names=["name", "own"])
+            last, name, alone = h[-1], n[-1], bool(single[-1])
+            names, counts = np.unique(n[starts[:-1]][single[:-1]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts)], names=["name", "own"])
+        if alone:
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([1], pa.int64())], names=["name", "own"])
+
+    return _counted(texts).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(count, "name long, own long")
+
+
+def shared_sizes(texts: DataFrame) -> DataFrame:
+    """(class, size, shared): how many shingles a class has, and how many of them any other
+    class of `texts` has too: all but those that only it has."""
+    sums = _lone(texts).groupBy("name").agg(F.sum("own").alias("own"))
     sized = texts.select("class", "size", F.xxhash64("class").alias("name")).join(sums, "name", "left")
-    return sized.select("class", "size", F.coalesce("shared", F.lit(0)).alias("shared"))
+    return sized.select("class", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many items each set of `left` has in common with each of `right`."""
+    out = np.zeros(len(left) * len(right), "i8")
+    a, b = np.concatenate(left), np.concatenate(right)
+    items = np.intersect1d(a, b)
+    if not len(items):
+        return out.reshape(len(left), -1)
+
+    def entries(all_: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Column and row of each item on both sides, by column."""
+        owners = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        spot = np.minimum(np.searchsorted(items, all_), len(items) - 1)
+        here = items[spot] == all_
+        spot, owners = spot[here], owners[here]
+        order = np.argsort(spot, kind="stable")
+        return spot[order], owners[order]
+
+    (col_a, row_a), (col_b, row_b) = entries(a, left), entries(b, right)
+    edges = np.arange(len(items) + 1)
+    at_a, at_b = np.searchsorted(col_a, edges), np.searchsorted(col_b, edges)
+    n_b = np.diff(at_b)
+    # Items of many sets by products of matrices, the others entry by entry.
+    dense = np.diff(at_a) * n_b > len(left) * len(right) // 64
+    columns = np.flatnonzero(dense)
+    for at in range(0, len(columns), COLUMNS):
+        some = columns[at : at + COLUMNS]
+        place = np.full(len(items), -1)
+        place[some] = np.arange(len(some))
+        x, y = np.zeros((len(left), len(some)), "f4"), np.zeros((len(right), len(some)), "f4")
+        for matrix, cols, rows in ((x, col_a, row_a), (y, col_b, row_b)):
+            here = place[cols] >= 0
+            matrix[rows[here], place[cols[here]]] = 1
+        out += np.rint(x @ y.T).astype("i8").ravel()
+    kept = ~dense[col_a]
+    cols, rows = col_a[kept], row_a[kept]
+    ends = np.cumsum(n_b[cols])
+    at = 0
+    while at < len(cols):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ENTRIES, "right")))
+        times = n_b[cols[at:stop]]
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        others = row_b[np.repeat(at_b[cols[at:stop]], times) + within]
+        out += np.bincount(np.repeat(rows[at:stop], times) * len(right) + others, minlength=len(out))
+        at = stop
+    return out.reshape(len(left), -1)
+
+
+def _joining(left: list[tuple], right: list[tuple], per_cent: int) -> list[tuple]:
+    """Links between rows (component, class, packed) of `left` and `right`: as many as join components."""
+    if len({x[0] for x in left} | {x[0] for x in right}) < 2:
+        return []
+    expand = zstandard.ZstdDecompressor().decompress
+    sets = [shingles(expand(x[2])) for x in left]
+    others = sets if right is left else [shingles(expand(x[2])) for x in right]
+    common = _common(sets, others)
+    sizes = np.array([len(x) for x in sets])[:, None] + np.array([len(x) for x in others])
+    number = {c: i for i, c in enumerate(sorted({x[0] for x in left} | {x[0] for x in right}))}
+    a, b = np.array([number[x[0]] for x in left]), np.array([number[x[0]] for x in right])
+    i, j = np.nonzero((100 * common >= per_cent * (sizes - common)) & (a[:, None] != b))
+    _, first = np.unique(a[i] * len(number) + b[j], return_index=True)
+    parent, found = list(range(len(number))), []
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
+        one, other = root(int(a[x])), root(int(b[y]))
+        if one != other:
+            parent[one] = other
+            found.append((left[x][1], right[y][1]))
+    return found
+
+
+def met(members: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
+    """Links (class, centre) between the rows (class, band, component) of `members` that share a band and
+    differ in component: enough of them to join all components that such links join. All are compared."""
+    rows = members.select("class", "band", "component").join(classes.select("class", "size", "packed"), "class")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CLASSES_PER_BLOCK, F.sum("size") / SHINGLES_PER_BLOCK)).cast("long")
+    sized = members.select("class", "band").join(classes.select("class", "size"), "class").groupBy("band").agg(blocks.alias("blocks"))
+    own = F.pmod(F.xxhash64("class", "band"), F.col("blocks")).alias("block")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = rows.join(sized, "band").select("band", "class", "component", "packed", own, every)
+    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
+    dealt = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left, right = None, [], []
+
+        def links() -> pa.RecordBatch:
+            found = _joining(left, left if now[1] == now[2] else right, per_cent) if left and (right or now[1] == now[2]) else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["class", "centre"])
+
+        for batch in batches:
+            for band, low, high, block, *row in zip(*[batch.column(c).to_pylist() for c in ("band", "low", "high", "block", "component", "class", "packed")], strict=True):
+                if now != (band, low, high):
+                    if now:
+                        yield links()
+                    now, left, right = (band, low, high), [], []
+                (left if block == low else right).append(row)
+        if now:
+            yield links()
+
+    return dealt.mapInArrow(run, "class binary, centre binary")
 
 
 def _possible(shared: Column, size: Column, other: Column, per_cent: int) -> Column:
@@ -321,15 +434,11 @@ def near_groups(docs: DataFrame, per_cent: int) -> DataFrame:
             if open_.isEmpty():
                 break
         shared = open_.select("class", "band", "size", "shared")
-        if turn < ROUNDS:
-            fresh = untried(open_.filter("component <> own").select("class", "centre"))
-        else:
-            mine = open_.select("class", "band", "component", "size", "shared")
-            theirs = mine.toDF("centre", "band", "other", "other_size", "other_shared")
-            common = F.least("shared", "other_shared")
-            fits = 100 * common >= per_cent * (F.col("size") + F.col("other_size") - common)
-            both = mine.join(theirs, "band").filter((F.col("class") < F.col("centre")) & (F.col("component") != F.col("other")) & fits)
-            fresh = untried(both.select("class", "centre"))
+        if turn == ROUNDS:
+            linked.append(cut_lineage(met(open_, texts, per_cent)))
+            found = joined()
+            break
+        fresh = untried(open_.filter("component <> own").select("class", "centre"))
         if not fresh.isEmpty():
             tried = cut_lineage(tried.unionByName(fresh))
             linked.append(cut_lineage(confirmed(fresh, texts, per_cent)))

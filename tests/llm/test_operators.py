@@ -427,6 +427,51 @@ def test_near_copies_of_one_text(spark):
     same(near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), brute.near_components(rows))
 
 
+@pytest.mark.parametrize(("blocks", "entries"), [(512, 1 << 22), (40, 50)])
+def test_near_copies_left_open_make_no_pairs(spark, monkeypatch, blocks, entries):
+    """Without rounds all open classes meet: links are those of brute force, and rows are not made by pair."""
+    monkeypatch.setattr(near, "ROUNDS", 0)
+    monkeypatch.setattr(near, "CLASSES_PER_BLOCK", blocks)
+    monkeypatch.setattr(near, "ENTRIES", entries)
+    monkeypatch.setattr(near, "COLUMNS", 64 if entries > 50 else 7)
+    whole, links = near.met, []
+    monkeypatch.setattr(near, "met", lambda *a: links.append((a[0].count(), whole(*a))) or links[-1][1])
+    rng = random.Random(12)
+    base = sentence(rng, 120, 5000).split()
+    rows = []
+    for i in range(160):
+        copy = list(base)
+        for _ in range(2 + rng.randrange(4)):
+            copy[rng.randrange(120)] = f"e{i}_{rng.randrange(9)}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for per_cent in (85, 80):
+        same(near.near_duplicates(df, per_cent), brute.near_components(rows, per_cent))
+    assert links and all(found.count() <= n for n, found in links)
+
+
+def test_common_items():
+    rng = random.Random(13)
+    sets = [np.array(sorted({rng.randrange(20) * (1 if rng.random() < 0.5 else 1000 + k) for _ in range(rng.randrange(1, 30))}), "u8") for k in range(50)]
+    got = near._common(sets[:20], sets[20:])
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[20:]] for a in sets[:20]]
+
+
+def test_shared_sizes_make_a_row_a_shingle(spark, monkeypatch):
+    """A passage that all classes have gives no row, in however many chunks it was counted."""
+    monkeypatch.setattr(near, "SHINGLES_PER_CHUNK", 1)
+    squeeze = near.zstandard.ZstdCompressor().compress
+    rng = random.Random(14)
+    passage = sentence(rng, 40, 10**6)
+    texts = [f"{passage} {sentence(rng, 5, 10**6)}".encode() for _ in range(60)]
+    df = spark.createDataFrame([(t[-9:], len(near.shingles(t)), squeeze(t)) for t in texts], "class binary, size long, packed binary")
+    got = near.shared_sizes(df).collect()
+    assert {r.shared for r in got} == {36} and len(got) == 60
+    own = [r.own for r in near._lone(df).collect()]
+    assert sum(own) == sum(len(near.shingles(t)) for t in texts) - 60 * 36 and min(own) > 0
+    assert near._counted(df).filter("shared > 0").count() == 0
+
+
 def test_shared_sizes(spark):
     sets = {"a": "1 2 3 4 5 6 7", "b": "0 2 3 4 5 6 7", "c": "x y z u v w"}
     squeeze = near.zstandard.ZstdCompressor().compress
