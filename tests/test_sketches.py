@@ -127,3 +127,23 @@ def test_one_key_and_day_is_dealt_over_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert sum(sizes) == 2_000_000 and len(sizes) == 4 and max(sizes) < 1_000_000
+
+
+@pytest.mark.parametrize("lo, hi", [(0, 0), (-30, 0), (0, 60)])
+@pytest.mark.parametrize("floor, key_events", [(10**9, 20), (9, 20), (10**9, 0)])
+@pytest.mark.parametrize("key", ["int", "string"])
+def test_event_rows_of_busy_and_other_keys(spark, lo, hi, floor, key_events, key):
+    """Keys meet as they are or by buckets, those of two types too; rows that are alike stay as many."""
+    rng = random.Random(hi)
+    keys = [*[1] * 30, *range(2, 30), None]
+    days = [None, *[DAY + dt.timedelta(d) for d in range(-100, 200)]]
+    entities = [(rng.choice(keys), i // 2, rng.choice(days)) for i in range(300)] + [(5, 1, DAY)] * 2
+    events = [(rng.choice(keys), rng.choice(days), rng.randrange(3)) for _ in range(400)] + [(5, DAY, 1)] * 3
+    got = event_rows(
+        spark.createDataFrame(entities, "k int, id int, day date"),
+        spark.createDataFrame(events, "k int, day date, n int").withColumn("k", F.col("k").cast(key)),
+        "k", "day", "day", lo, hi, floor=floor, key_events=key_events,
+    )
+    assert got.columns == ["k", "id", "day", "event_k", "event_day", "event_n"]
+    rows = Counter((*r[:3], int(r[3]), *r[4:]) for r in got.collect())
+    assert rows == plain_rows(entities, events, lo, hi) and len({r[0] for r in rows}) > 5
